@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from setforge.llm.langid import op9_language_id
 from setforge.llm.simhash import op8_simhash
+from setforge.llm.token_file import op10_token_file
+from setforge.llm.tokens import op7_token_counts
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +20,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_token_counts": op7_token_counts,
         "op8_simhash": op8_simhash,
+        "op9_language_id": op9_language_id,
+        "op10_token_file": op10_token_file,
     }
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from setforge.llm.langid import op9_language_id
+from setforge.llm.quality_rules import OP2_SQL, op2_quality_rules
 from setforge.llm.simhash import op8_simhash
 from setforge.llm.token_file import op10_token_file
 from setforge.llm.tokens import op7_token_counts
@@ -20,6 +21,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_rules": op2_quality_rules,
         "op7_token_counts": op7_token_counts,
         "op8_simhash": op8_simhash,
         "op9_language_id": op9_language_id,
@@ -28,4 +30,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_quality_rules": OP2_SQL,
+    }

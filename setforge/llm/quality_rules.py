@@ -59,7 +59,7 @@ def _bound(value: Column, use) -> Column:
 def _measured(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
-    trimmed = F.expr(r"trim(BOTH ' \t\n\u000B\f\r' FROM text)")
+    trimmed = F.expr(r"trim(BOTH ' \t\n\u000B\u000C\r' FROM text)")
     rows = rows.select("doc_id", "text", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES)).alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)).alias("lines"))
     at = lambda words, k: F.get(words, k)
     windows = F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(at(F.col("words"), i), at(F.col("words"), i + 1), at(F.col("words"), i + 2)))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from setforge.llm.langid import op9_language_id
 from setforge.llm.quality_rules import OP2_SQL, op2_quality_rules
 from setforge.llm.simhash import op8_simhash
+from setforge.llm.substring_dedup import op6_substring_dedup
 from setforge.llm.token_file import op10_token_file
 from setforge.llm.tokens import op7_token_counts
 
@@ -22,6 +23,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_token_counts": op7_token_counts,
         "op8_simhash": op8_simhash,
         "op9_language_id": op9_language_id,

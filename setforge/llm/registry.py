@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from setforge.llm.decontamination import op1_decontamination
+from setforge.llm.html_extract import op4_html_extract
 from setforge.llm.langid import op9_language_id
+from setforge.llm.mixing import op3_mixing
+from setforge.llm.quality_model import op5_quality_model
 from setforge.llm.quality_rules import OP2_SQL, op2_quality_rules
 from setforge.llm.simhash import op8_simhash
 from setforge.llm.substring_dedup import op6_substring_dedup
@@ -22,7 +26,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_quality_rules": op2_quality_rules,
+        "op3_mixing": op3_mixing,
+        "op4_html_extract": op4_html_extract,
+        "op5_quality_model": op5_quality_model,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_token_counts": op7_token_counts,
         "op8_simhash": op8_simhash,

@@ -36,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_language_id": op9_language_id,
         "op10_token_file": op10_token_file,
+        "pipeline": pipeline,
     }
 
 

@@ -15,7 +15,8 @@ Two ways make the blocks:
 A block emits a spanning star of each of its local components, never its pairs. Exact copies are one node.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and is linked like any other;
-repeated doc_id rows stay as they are; an empty table gives an empty result; other columns of the input are ignored.
+rows with a doc_id in common are rows of one document each;
+rows without a doc_id take part, but have no component and never name one; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -359,21 +360,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
-    """doc_id, fp (binary), component_id (smallest doc_id reachable, itself included), for every document."""
+    """doc_id, fp (binary), component_id (smallest doc_id reachable, itself included), for every row of docs."""
     prints = cut(fingerprints(docs, p), "prints")
     same = ["fp", "keys"]  # documents alike in all of these are one node
     nodes = prints.groupBy(*same).agg(F.min("doc_id").alias("node"))
-    named = prints.groupBy(*same).agg(F.min("doc_id").alias("node")) if p.blocks == "minhash" else nodes
-    found = components(links(nodes.select("node", "fp", "keys"), p))
-    named = named.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, same).select("doc_id", "fp", "component_id")
+    found = components(links(nodes.where("node is not null"), p))
+    named = nodes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
+    return prints.join(named, same).select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, p: SimHashParams) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; all their columns, exact copies of a row once."""
-    found = near_duplicates(docs, p)
+def keep_one(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component, one for each doc_id, and those without a doc_id."""
+    found = cut(near_duplicates(docs, p).select("doc_id", "component_id"), "classes")
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").select(*docs.columns)
+    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id"])
+    return rows.unionByName(docs.where("doc_id is null"))
 
 
 #: Pipeline: 5-word shingle sets; 0.8 of similarity is an angle of 0.151 of a half turn, plus 1.6 standard deviations.

@@ -16,8 +16,8 @@ from setforge.operators.setsketch import SketchParams, register
 def window_registers(events: DataFrame, p: SketchParams, time: str, item: str, key: str, width: str = "1 day", late: str | None = None, slide: str | None = None, family: str = "md5") -> DataFrame:
     """(window_start, key, slot, reg) of the items in each tumbling (or sliding) window of the time column."""
     rows = events.where(F.col(item).isNotNull() & F.col(time).isNotNull())
-    if late:
-        rows = rows.withWatermark(time, late)
+    if late:  # a watermark needs a time with a zone: that of the session
+        rows = rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     rows = rows.select(F.col(time).alias("at"), F.col(key).alias("key"), F.col(item).alias("item"), F.explode(F.sequence(F.lit(0), F.lit(p.m - 1))).alias("slot"))
     x = exponential(uniform(key_text(F.col("item"), F.col("slot"), "k"), family)) / p.a
     rows = rows.withColumn("reg", register(x, p))
@@ -28,6 +28,6 @@ def window_registers(events: DataFrame, p: SketchParams, time: str, item: str, k
 
 def session_members(events: DataFrame, time: str, item: str, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
     """(item, session_start, session_end, n) by gaps of inactivity."""
-    rows = events.withWatermark(time, late) if late else events
+    rows = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if late else events
     out = rows.groupBy(F.session_window(time, gap).alias("w"), F.col(item).alias("item")).agg(F.count(F.lit(1)).alias("n"))
     return out.select("item", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")

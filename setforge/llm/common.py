@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -42,6 +43,8 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.setforge_path = path
+    gc.collect()  # so that Spark's cleaner drops the shuffle files of what was written, now that nothing needs them
+    df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 

@@ -17,7 +17,6 @@ result; other columns of the input are ignored; null doc_ids come first.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setforge.llm.common import cut
+from setforge.llm.common import cut, discard
 
 _B1 = 0x9E3779B97F4A7C15 | 1
 _B2 = 0xC2B2AE3D27D4EB4F | 1
@@ -34,7 +33,7 @@ _B2 = 0xC2B2AE3D27D4EB4F | 1
 @dataclass(frozen=True)
 class RepeatParams:
     length: int = 20
-    anchor_words: int = 8
+    anchor_words: int = 6
 
     def __post_init__(self):
         if not 1 <= self.anchor_words <= self.length:
@@ -80,7 +79,7 @@ def governing(anchors: np.ndarray, span: int) -> np.ndarray:
 
 
 def seeds(words: list[bytes], p: RepeatParams):
-    """Runs of windows with one anchor occurrence: (anchor hash, run hash, first window, number of windows), as arrays."""
+    """Of each run of windows with one anchor occurrence: anchor hash, run hash, first window, number of windows."""
     n_win = len(words) - p.length + 1
     if n_win < 1:
         return None
@@ -90,29 +89,30 @@ def seeds(words: list[bytes], p: RepeatParams):
     first = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
     count = np.diff(np.concatenate((first, [n_win])))
     w1, w2 = run_hash(h1, p.length, _B1), run_hash(h2, p.length, _B2)
-    # a run's hash: its first and last windows (which hold all its words), its length and the second hash family
+    # a run's hash: its first and last windows (which hold all its words), and its length; with the anchor 128 bits
     last = first + count - 1
-    whole = mixed(mixed(w1[first] + np.uint64(_B2) * w2[last]) + count.astype(np.uint64))
-    other = mixed(mixed(w2[first] + np.uint64(_B1) * w1[last]) ^ count.astype(np.uint64))
-    return anchors[at[first]], whole, other, first, count, (w1, w2)
+    run = mixed(mixed(w1[first] + np.uint64(_B2) * w2[last]) ^ mixed(w2[first] + np.uint64(_B1) * w1[last]) + count.astype(np.uint64))
+    return anchors[at[first]], run, first, count
 
 
 def _seed_rows(docs: DataFrame, p: RepeatParams) -> DataFrame:
+    """anchor, run, row, place (first window << 16 | number of windows) of every anchor occurrence."""
+
     def run(batches):
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                ids, cols = [], [[], [], [], [], []]
+                cols = [[], [], [], []]
                 for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     got = seeds(words_of(t.as_py()), p)
                     if got:
-                        ids.append(np.full(len(got[0]), i, np.int64))
-                        for c, x in zip(cols, got, strict=False):
-                            c.append(x.astype(np.int64, copy=False) if x.dtype != np.uint64 else x.view(np.int64))
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in [cols[0], cols[1], cols[2], ids, cols[3], cols[4]]], ["anchor", "run1", "run2", "row", "first", "count"])
+                        anchor, runs, first, count = got
+                        for c, x in zip(cols, (anchor.view(np.int64), runs.view(np.int64), np.full(len(first), i, np.int64), first << 16 | count), strict=True):
+                            c.append(x)
+                if cols[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], ["anchor", "run", "row", "place"])
 
-    return docs.select("row", "text").mapInArrow(run, "anchor long, run1 long, run2 long, row long, first long, count long")
+    return docs.select("row", "text").mapInArrow(run, "anchor long, run long, row long, place long")
 
 
 def _window_rows(docs: DataFrame, p: RepeatParams) -> DataFrame:
@@ -139,19 +139,22 @@ def _window_rows(docs: DataFrame, p: RepeatParams) -> DataFrame:
 
 def repeats(docs: DataFrame, p: RepeatParams) -> DataFrame:
     """(row, spans: array of (first, count)): windows that start earlier elsewhere, in rows (row long, text)."""
+    span = lambda place: [F.shiftright(place, 16).alias("first"), F.col(place).bitwiseAND(F.lit(0xFFFF)).alias("count")]
     found = cut(_seed_rows(docs, p), "seeds")
-    runs = found.groupBy("anchor", "run1", "run2").agg(F.min(F.struct("row", "first", "count")).alias("head"), F.count(F.lit(1)).alias("n"))
-    runs = cut(runs.select("anchor", "run1", "run2", "head.*", "n"), "runs")
+    runs = found.groupBy("anchor", "run").agg(F.min(F.struct("row", "place")).alias("head"), F.count(F.lit(1)).alias("n"))
+    runs = cut(runs.select("anchor", "run", "head.row", "head.place", "n"), "runs")
     # copies of a run: all its windows start earlier in the first copy
-    again = found.join(runs.where("n > 1").select("anchor", "run1", "run2", F.col("row").alias("r0"), F.col("first").alias("f0")), ["anchor", "run1", "run2"])
-    again = again.where("row <> r0 or first <> f0").select("row", "first", "count")
+    copied = runs.where("n > 1").select("anchor", "run", F.col("row").alias("row0"), F.col("place").alias("place0"))
+    again = cut(found.join(copied, ["anchor", "run"]).where("row <> row0 or place <> place0").select("row", *span("place")), "again")
+    discard(found)
     # an anchor with several distinct runs: extend each of them window by window
     shared = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
-    heads = runs.join(shared, "anchor").groupBy("row").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
+    heads = cut(runs.join(shared, "anchor", "left_semi").select("row", F.struct(*span("place")).alias("r")).groupBy("row").agg(F.collect_list("r").alias("runs")), "heads")
+    discard(runs)
     windows = cut(_window_rows(docs.join(heads, "row"), p), "windows")
-    firsts = windows.groupBy("w1", "w2").agg(F.min(F.struct("row", "first")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2", F.col("m.row").alias("r0"), F.col("m.first").alias("f0"))
-    late = windows.join(firsts, ["w1", "w2"]).where("row <> r0 or first <> f0").select("row", "first", F.lit(1).cast("long").alias("count"))
-    return again.unionByName(late).groupBy("row").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
+    firsts = windows.groupBy("w1", "w2").agg(F.min(F.struct("row", "first")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2", F.col("m.row").alias("row0"), F.col("m.first").alias("first0"))
+    late = windows.join(firsts, ["w1", "w2"]).where("row <> row0 or first <> first0").select("row", "first", F.lit(1).cast("long").alias("count"))
+    return cut(again.unionByName(late).groupBy("row").agg(F.collect_list(F.struct("first", "count")).alias("spans")), "spans")
 
 
 def remove_repeats(docs: DataFrame, p: RepeatParams = RepeatParams()) -> DataFrame:

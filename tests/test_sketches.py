@@ -195,3 +195,19 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted(map(tuple, spark.table("regs").collect()))
     assert got and got == sorted(map(tuple, window_registers(events, p, "ts", "user_id", "event_type").collect()))
     assert os.path.exists(f"{tmp_path}/cp")
+
+
+def test_store(spark, tmp_path):
+    from setforge.sources import store
+
+    rows, path = ranges(spark), f"file://{tmp_path}/sketches"
+    wide = weighted.wide(minwise.superminhash2(rows, 16, "xxhash64"), "value")
+    other = weighted.wide(minwise.superminhash(rows, 16, "xxhash64"), "value").select("set_id", F.transform("sig", lambda x: x.cast("bigint")).alias("sig"))
+    store.write(store.described(wide, "smh2", 16, "xxhash64"), path)
+    store.write(store.described(other, "smh", 16, "xxhash64", params={"b": 1}), path)
+    a, b = store.read(spark, path, "smh2"), store.read(spark, path, "smh")
+    assert a.count() == 2 and store.read(spark, path).count() == 4
+    want = jaccard(spark, minwise.superminhash2(rows, 16, "xxhash64"), 16)
+    assert store.compared(a, a, pair(spark)).first()["jaccard"] == want
+    with pytest.raises(Exception, match="different ways"):
+        store.compared(a, b, pair(spark)).collect()

@@ -14,10 +14,12 @@ the order of their texts' hash; a null doc_id comes first; an empty table gives
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ class FileParams:
     end_id: int = 0
     percentile: int = 90
     segment_ids: int = 1 << 19
-    memo: int = 300_000
+    memo: int = 800_000
     max_parts: int = 1 << 20
 
 
@@ -103,12 +105,30 @@ def unpack(data: bytes) -> np.ndarray:
     return (delta + low[:, None]).reshape(-1)[:n]
 
 
+class Pieces(dict):
+    """Memo: pre-token -> its ids as little-endian bytes, found by the library's model; emptied when it is full."""
+
+    def __init__(self, model, most: int):
+        self.model, self.most = model, most
+        # the byte-level alphabet: bytes that print stand for themselves, the others follow from U+0100 on, in order
+        own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = iter(range(256, 512))
+        self.alphabet = {b: chr(b if b in own else next(rest)) for b in range(256)}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
+        self[piece] = out = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        return out
+
+
 class Encoder:
-    """Ids of texts as little-endian bytes, through the tokenizers library, each distinct pre-token encoded once.
+    """Ids of texts as little-endian bytes, through the tokenizers library, each distinct pre-token once while it is kept.
 
-    Texts of characters up to U+024F (assigned long ago) are cut in the byte-level pre-tokenizer's pieces here; the
-    library encodes the pieces that the memo lacks, many at a time. Any other text, and one with an added token's
-    string, goes to the library whole. The memo is emptied when it holds ``memo`` pieces.
+    Texts of characters up to U+024F (assigned long ago) are cut in the byte-level pre-tokenizer's pieces here and the
+    library's model finds the ids of each piece. Any other text, one with an added token's string, and all texts where the
+    tokenizer is not a plain byte-level one, go to the library whole.
     """
 
     #: The published byte-level pattern, for characters up to U+024F.
@@ -119,45 +139,27 @@ class Encoder:
     OTHER = re.compile(r"[^\t-\r -~\x85\xa0-ɏ]")
 
     def __init__(self, p: FileParams):
-        self.tok, self.most, self.memo = load(p.tokenizer), p.memo, {}
+        self.tok = load(p.tokenizer)
+        self.memo = Pieces(self.tok.model, p.memo)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        kind = json.loads(self.tok.to_str())
+        pre = kind["pre_tokenizer"] or {}
+        self.plain = kind["model"]["type"] == "BPE" and kind["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
 
-    def _whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         got = self.tok.encode_batch_fast(parts(text, 1 << 16), add_special_tokens=False)
         return b"".join(np.array(x.ids, "<u4").tobytes() for x in got)
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.memo) + len(new) > self.most:
-            self.memo.clear()
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            got = self.tok.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, "<u4").tobytes()
-            ends = np.cumsum(np.bincount(np.array(got.word_ids), minlength=len(some))) * 4
-            start = 0
-            for piece, end in zip(some, ends.tolist(), strict=True):
-                self.memo[piece] = ids[start:end]
-                start = end
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for t in texts:
-            plain = (t.isascii() or not self.OTHER.search(t)) and not any(a in t for a in self.added)
-            cut.append(self.PIECES.findall(t) if plain else None)
-        memo, new = self.memo, {}
-        for c in cut:
-            if c:
-                new.update(dict.fromkeys(x for x in c if x not in memo))
-        if new:
-            self._learn(list(new))
-            if any(x not in memo for c in cut if c for x in c[:1]) or len(memo) == len(new):  # the memo was emptied
-                again = {x: None for c in cut if c for x in c if x not in memo}
-                if again:
-                    keep, self.most = self.most, len(memo) + len(again)
-                    self._learn(list(again))
-                    self.most = keep
-        get = memo.__getitem__
-        return [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+    def __call__(self, text: str) -> bytes:
+        if not self.plain or any(a in text for a in self.added) or not text.isascii() and self.OTHER.search(text):
+            return self.whole(text)
+        return b"".join(map(self.memo.__getitem__, self.PIECES.findall(text)))
+
+
+@lru_cache(maxsize=2)
+def encoder(p: FileParams) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(p)
 
 
 _SEGMENT = "part long, first long, n_ids long, doc_ids array<long>, lengths array<long>, data binary"
@@ -167,7 +169,7 @@ def write_ids(ordered: DataFrame, path: str, p: FileParams) -> None:
     """Write the ids of doc_id, text rows, in the order of partitions and of rows inside them."""
 
     def run(batches):
-        encode, part = Encoder(p), TaskContext.get().partitionId()
+        encode, part = encoder(p), TaskContext.get().partitionId()
         end = np.array([p.end_id], "<u4").tobytes()
         ids, lengths, blobs, size, first = [], [], [], 0, 0
 
@@ -178,7 +180,8 @@ def write_ids(ordered: DataFrame, path: str, p: FileParams) -> None:
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
-                for i, blob in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    blob = encode(t.as_py() or "")
                     ids.append(i)
                     lengths.append(len(blob) // 4 + 1)
                     blobs += [blob, end]

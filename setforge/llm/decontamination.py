@@ -131,3 +131,30 @@ def op1_decontamination(spark, sf_dir: str) -> DataFrame:
     from setforge.llm.common import table
 
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op1_sql(p: LeakParams = LeakParams()) -> str:
+    """The same in DuckDB, for benchmarks whose windows hold no slots, as those of the given tables; slots are held against
+    brute force."""
+
+    def words(text: str) -> str:
+        name = rf"regexp_replace(%s, '([^\s.!?:;\"|]\s)\p{{Lu}}[\p{{L}}\p{{M}}''’-]*', '\1' || chr(1), 'g')"
+        t = name % (name % text)  # neighbours in a run of names take turns
+        t = rf"regexp_replace(lower({t}), '\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*', chr(2), 'g')"
+        t = rf"regexp_replace({t}, chr(2) || '(\s?)(?:{UNITS})([^\p{{L}}\p{{N}}]|$)', chr(2) || '\1' || chr(3) || '\2', 'g')"
+        t = rf"regexp_replace({t}, '[^\p{{L}}\p{{M}}\p{{N}}\s\x01-\x03]+', '', 'g')"
+        return rf"list_filter(regexp_split_to_array({t}, '\s+'), lambda w: w <> '')"
+
+    return f"""
+WITH b AS (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+i AS (SELECT item_id, {words("text")} AS words FROM b),
+s AS (SELECT item_id, words, least(len(words), {p.window}) AS size FROM i WHERE len(words) >= {p.least_words}),
+a AS (SELECT item_id, size, words, unnest(range(1, len(words) - size + 2)) AS pos FROM s),
+w AS (SELECT item_id, size, pos, words[pos : pos + size - 1] AS part FROM a),
+k AS (SELECT item_id, size, pos, array_to_string(part, ' ') AS t FROM w WHERE 2 * len(list_filter(part, lambda x: regexp_matches(x, '[\\x01-\\x03]'))) <= size),
+n AS (SELECT item_id, count(DISTINCT pos) AS n_windows FROM k GROUP BY item_id),
+d AS (SELECT doc_id, {words("coalesce(text, '')")} AS words FROM documents WHERE doc_id IS NOT NULL),
+x AS (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS pos FROM d, (SELECT DISTINCT size FROM k UNION SELECT {p.window})),
+h AS (SELECT doc_id, item_id, count(DISTINCT k.pos) AS n_hits FROM x JOIN k ON k.size = x.size AND k.t = array_to_string(words[x.pos : x.pos + x.size - 1], ' ') GROUP BY doc_id, item_id)
+SELECT doc_id, h.item_id, n_hits, n_windows, 0::BIGINT AS n_slots, 0::BIGINT AS n_changed FROM h JOIN n ON n.item_id = h.item_id WHERE n_hits >= least({p.enough}, n_windows)
+"""

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setforge.llm.decontamination import op1_decontamination
+from setforge.llm.decontamination import op1_decontamination, op1_sql
 from setforge.llm.html_extract import op4_html_extract
 from setforge.llm.langid import op9_language_id
 from setforge.llm.mixing import op3_mixing
 from setforge.llm.quality_model import op5_quality_model
 from setforge.llm.quality_rules import OP2_SQL, op2_quality_rules
 from setforge.llm.simhash import op8_simhash
-from setforge.llm.substring_dedup import op6_substring_dedup
+from setforge.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 from setforge.llm.token_file import op10_token_file
 from setforge.llm.tokens import op7_token_counts
 
@@ -42,5 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontamination": op1_sql(),
         "op2_quality_rules": OP2_SQL,
+        "op6_substring_dedup": OP6_SQL,
     }

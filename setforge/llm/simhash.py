@@ -33,7 +33,7 @@ from setforge.llm.common import cut, discard
 ONE = np.uint64(1)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 
 
 @dataclass(frozen=True)
@@ -81,37 +81,43 @@ def mix(h: np.ndarray, k: int) -> np.ndarray:  # arrays only: numpy wraps 64-bit
     return x ^ (x >> np.uint64(31))
 
 
-def majority(h: np.ndarray) -> int:
-    """The 64-bit word whose bit is 1 where over half the hashes have it."""
-    if not len(h):
-        return 0
-    cols = h.astype("<u8").view(np.uint8).reshape(-1, 8)
-    out = 0
-    for k in range(8):
-        ones = np.bincount(cols[:, k], minlength=256) @ _BITS
-        for b in np.flatnonzero(2 * ones > len(h)):
-            out |= 1 << (8 * k + int(b))
-    return out
-
-
-def fingerprint(h: np.ndarray, bits: int) -> bytes:
-    """Big-endian bytes of the fingerprint; the first 64 bits are the majority of the hashes themselves."""
-    return b"".join(majority(h if k == 0 else mix(h, k)).to_bytes(8, "big") for k in range(bits // 64))
-
+def prints_of(hashes: list[np.ndarray], bits: int) -> list[bytes]:
+    """Fingerprints of several texts, as big-endian bytes: bit k of a word is 1 where over half the hashes have it.
 
-def band_keys(h: np.ndarray, bands: int, rows: int) -> list[int]:
-    """Keys of minhash bands of a shingle set: signed 64-bit, the band's number mixed in."""
-    if not len(h):
-        return [b for b in range(bands)]
-    keys = []
-    for b in range(bands):
-        acc = np.uint64(b + 1)
-        for r in range(rows):
-            k = 2 * (b * rows + r) + 3
-            low = (h * np.uint64((0x9E3779B97F4A7C15 * k | 1) % 2**64) + np.uint64(0xD1B54A32D192ED03 * k % 2**64)).min()
-            acc = mix(np.array([acc ^ low], np.uint64), 1)[0]
-        keys.append(int(acc.astype(np.int64)))
-    return keys
+    The first 64 bits come from the hashes themselves, further ones from hashes mixed anew. Counts of byte values, by
+    text and place of the byte, give the counts of their bits.
+    """
+    sizes = np.array([len(h) for h in hashes])
+    n, whole = len(sizes), np.concatenate([*hashes, np.empty(0, np.uint64)])
+    text = np.repeat(np.arange(n) << 8, sizes)
+    ones = np.empty((n, bits // 64, 8, 8), bool)
+    for k in range(bits // 64):
+        cols = (whole if k == 0 else mix(whole, k)).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+        for j in range(8):
+            table = np.bincount(text + cols[:, j], minlength=n << 8).reshape(n, 256)
+            ones[:, k, 7 - j] = 2 * (table @ _BITS) > sizes[:, None]
+    rows = np.packbits(ones.reshape(n, bits), axis=1).reshape(n, -1)
+    return [r.tobytes() for r in rows]
+
+
+def keys_of(hashes: list[np.ndarray], bands: int, rows: int) -> list[list[int]]:
+    """Keys of the minhash bands of several shingle sets: signed 64-bit, the band's number mixed in."""
+    full = np.array([k for k, h in enumerate(hashes) if len(h)], np.int64)
+    out: list[list[int]] = [list(range(bands)) for _ in hashes]  # no shingles: alike among themselves
+    if len(full):
+        whole = np.concatenate([hashes[k] for k in full])
+        starts = np.cumsum([0, *(len(hashes[k]) for k in full[:-1])])
+        keys = np.empty((len(full), bands), np.uint64)
+        for b in range(bands):
+            acc = np.full(len(full), b + 1, np.uint64)
+            for r in range(rows):
+                k = 2 * (b * rows + r) + 3
+                low = np.minimum.reduceat(whole * np.uint64((0x9E3779B97F4A7C15 * k | 1) % 2**64) + np.uint64(0xD1B54A32D192ED03 * k % 2**64), starts)
+                acc = mix(acc ^ low, 1)
+            keys[:, b] = acc
+        for k, row in zip(full.tolist(), keys.view(np.int64).tolist(), strict=True):
+            out[k] = row
+    return out
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
@@ -246,18 +252,24 @@ def block_stars(fps: np.ndarray, ids: np.ndarray, radius: int) -> list[tuple[int
 def fingerprints(docs: DataFrame, p: SimHashParams) -> DataFrame:
     """doc_id, fp (binary), n_shingles, keys (minhash bands; empty with pigeonhole) of every document."""
 
+    def made(ids: list, hashes: list[np.ndarray]) -> pa.RecordBatch:
+        keys = keys_of(hashes, p.bands, p.rows) if p.blocks == "minhash" else [[] for _ in hashes]
+        cols = [pa.array(ids, pa.int64()), pa.array(prints_of(hashes, p.bits), pa.binary()), pa.array([len(h) for h in hashes], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "n_shingles", "keys"])
+
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            fps, keys, sizes = [], [], []
-            for t in texts:
+            ids, hashes, size = [], [], 0
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h = shingle_hashes(t.as_py(), p.words)
-                if not p.repeats:
-                    h = np.unique(h)
-                fps.append(fingerprint(h, p.bits))
-                sizes.append(len(h))
-                keys.append(band_keys(h, p.bands, p.rows) if p.blocks == "minhash" else [])
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "n_shingles", "keys"])
+                ids.append(i)
+                hashes.append(h if p.repeats else np.unique(h))
+                size += len(h)
+                if size >= 100_000 or len(ids) >= 256:
+                    yield made(ids, hashes)
+                    ids, hashes, size = [], [], 0
+            if ids:
+                yield made(ids, hashes)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp binary, n_shingles long, keys array<long>")

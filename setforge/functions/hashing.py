@@ -37,6 +37,18 @@ def uniform(text: Column, family: str = "md5") -> Column:
     return (bits52(text, family).cast("double") + 1.0) / TWO52
 
 
+def draw(item: Column, *labels: Column | str | int, family: str = "md5") -> Column:
+    """52 bits for an item and labels; xxhash64 takes the values as they are, without making a text of them."""
+    if family == "xxhash64":
+        return F.shiftrightunsigned(F.xxhash64(item, *[x if isinstance(x, Column) else F.lit(x) for x in labels]), 12)
+    return bits52(key_text(item, *labels), family)
+
+
+def uniform_draw(item: Column, *labels: Column | str | int, family: str = "md5") -> Column:
+    """The same as a uniform in (0, 1]."""
+    return (draw(item, *labels, family=family).cast("double") + 1.0) / TWO52
+
+
 def item_hash(item: Column) -> Column:
     """60 bits (bigint, not negative) of an item's text, alike in any SQL engine."""
     return F.conv(F.substring(F.md5(item.cast("string")), 1, 15), 16, 10).cast("bigint")

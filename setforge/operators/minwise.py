@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setforge.functions.hashing import bits52, item_hash, key_text, uniform
+from setforge.functions.hashing import draw, item_hash, uniform_draw
 
 
 def permutation(item: Column, m: int, family: str = "md5") -> Column:
     """The slots 0 .. m-1 in the item's order; up to 2048 of them rank and slot share one bigint, which sorts fast."""
     slots = F.sequence(F.lit(0), F.lit(m - 1))
-    rank = lambda k: bits52(key_text(item, k, "p"), family)
+    rank = lambda k: draw(item, k, "p", family=family)
     if m <= 2048:
         order = F.sort_array(F.transform(slots, lambda k: rank(k) * 2048 + k))
         return F.transform(order, lambda x: x.bitwiseAND(F.lit(2047).cast("bigint")).cast("int"))
@@ -28,7 +28,7 @@ def visits(sets: DataFrame, m: int, family: str = "md5") -> DataFrame:
     if m < 1:
         raise ValueError("m >= 1")
     rows = sets.select("set_id", "item", F.posexplode(permutation(F.col("item"), m, family)).alias("j", "slot"))
-    return rows.withColumn("r", uniform(key_text(F.col("item"), F.col("j"), "r"), family))
+    return rows.withColumn("r", uniform_draw(F.col("item"), F.col("j"), "r", family=family))
 
 
 def superminhash(sets: DataFrame, m: int, family: str = "md5") -> DataFrame:
@@ -37,6 +37,9 @@ def superminhash(sets: DataFrame, m: int, family: str = "md5") -> DataFrame:
 
 
 def superminhash2(sets: DataFrame, m: int, family: str = "md5") -> DataFrame:
-    """(set_id, slot, value bigint): the hash of the slot's item; ties go to the least hash."""
-    rows = visits(sets, m, family).select("set_id", "slot", F.struct("j", "r", item_hash(F.col("item")).alias("hash")).alias("x"))
-    return rows.groupBy("set_id", "slot").agg(F.min("x").alias("x")).select("set_id", "slot", F.col("x.hash").alias("value"))
+    """(set_id, slot, value bigint): the hash of the slot's item. Round and uniform share a bigint of 11 and 52 bits."""
+    if m > 2048:
+        raise ValueError("m <= 2048")
+    rows = sets.select("set_id", item_hash(F.col("item")).alias("hash"), "item", F.posexplode(permutation(F.col("item"), m, family)).alias("j", "slot"))
+    order = F.shiftleft(F.col("j").cast("bigint"), 52).bitwiseOR(draw(F.col("item"), F.col("j"), "r", family=family))
+    return rows.select("set_id", "slot", "hash", order.alias("x")).groupBy("set_id", "slot").agg(F.min_by("hash", "x").alias("value"))

@@ -14,7 +14,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setforge.functions.hashing import bits52, hash32, item_hash, key_text, uniform
+from setforge.functions.hashing import draw, hash32, item_hash, uniform_draw
 
 
 def bins(sets: DataFrame, m: int, family: str = "md5") -> DataFrame:
@@ -22,9 +22,8 @@ def bins(sets: DataFrame, m: int, family: str = "md5") -> DataFrame:
     if m < 1:
         raise ValueError("m >= 1")
     item = F.col("item")
-    draw = F.struct(uniform(key_text(item, "u"), family).alias("r"), item_hash(item).alias("hash"))
-    rows = sets.select("set_id", (bits52(key_text(item, "b"), family) % m).cast("int").alias("slot"), draw.alias("x"))
-    return rows.groupBy("set_id", "slot").agg(F.min("x").alias("x")).select("set_id", "slot", "x.r", F.col("x.hash").alias("value"))
+    rows = sets.select("set_id", (draw(item, "b", family=family) % m).cast("int").alias("slot"), uniform_draw(item, "u", family=family).alias("r"), item_hash(item).alias("hash"))
+    return rows.groupBy("set_id", "slot").agg(F.min("r").alias("r"), F.min_by("hash", "r").alias("value"))
 
 
 def merge_bins(*sketches: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setforge.functions.hashing import exponential, key_text, uniform
+from setforge.functions.hashing import exponential, uniform_draw
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ def registers(sets: DataFrame, p: SketchParams, *keys: str, family: str = "md5")
     """(keys, slot, reg) for sets given as rows with the keys (set_id if none) and item."""
     keys = keys or ("set_id",)
     rows = sets.select(*keys, "item", F.explode(F.sequence(F.lit(0), F.lit(p.m - 1))).alias("slot"))
-    x = exponential(uniform(key_text(F.col("item"), F.col("slot"), "k"), family)) / p.a
+    x = exponential(uniform_draw(F.col("item"), F.col("slot"), "k", family=family)) / p.a
     return rows.select(*keys, "slot", x.alias("x")).groupBy(*keys, "slot").agg(F.min("x").alias("x")).select(*keys, "slot", register(F.col("x"), p).alias("reg"))
 
 

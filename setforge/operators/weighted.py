@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setforge.functions.hashing import bits52, exponential, key_text, truncated_exponential, uniform
+from setforge.functions.hashing import draw, exponential, truncated_exponential, uniform_draw
 
 
 def _least(rows: DataFrame, *keys: str) -> DataFrame:
@@ -26,7 +26,7 @@ def sample(sets: DataFrame, m: int, family: str = "md5") -> DataFrame:
         raise ValueError("m >= 1")
     slots = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("slot")
     rows = sets.select("set_id", "item", "weight", slots)
-    h = exponential(uniform(key_text(F.col("item"), F.col("slot")), family)) / F.col("weight")
+    h = exponential(uniform_draw(F.col("item"), F.col("slot"), family=family)) / F.col("weight")
     return _least(rows.select("set_id", "slot", h.alias("h"), "item"), "set_id", "slot")
 
 
@@ -38,8 +38,8 @@ def item_points(items: DataFrame, m: int, points: int, family: str = "md5") -> D
     if m < 2:
         raise ValueError("m >= 2")
     rows = items.select("item").distinct().select("item", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
-    e = truncated_exponential(uniform(key_text(F.col("item"), F.col("i"), "e"), family), math.log(m / (m - 1)))
-    slot = (bits52(key_text(F.col("item"), F.col("i"), "s"), family) % m).cast("int")
+    e = truncated_exponential(uniform_draw(F.col("item"), F.col("i"), "e", family=family), math.log(m / (m - 1)))
+    slot = (draw(F.col("item"), F.col("i"), "s", family=family) % m).cast("int")
     return rows.select("item", slot.alias("slot"), (F.col("i") + e).alias("c")).groupBy("item", "slot").agg(F.min("c").alias("c"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setforge.functions.hashing import exponential, key_text, uniform
+from setforge.functions.hashing import exponential, uniform_draw
 from setforge.operators.setsketch import SketchParams, register
 
 
@@ -19,7 +19,7 @@ def window_registers(events: DataFrame, p: SketchParams, time: str, item: str, k
     if late:  # a watermark needs a time with a zone: that of the session
         rows = rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     rows = rows.select(F.col(time).alias("at"), F.col(key).alias("key"), F.col(item).alias("item"), F.explode(F.sequence(F.lit(0), F.lit(p.m - 1))).alias("slot"))
-    x = exponential(uniform(key_text(F.col("item"), F.col("slot"), "k"), family)) / p.a
+    x = exponential(uniform_draw(F.col("item"), F.col("slot"), "k", family=family)) / p.a
     rows = rows.withColumn("reg", register(x, p))
     span = F.window("at", width, slide) if slide else F.window("at", width)
     out = rows.groupBy(span.alias("w"), "key", "slot").agg(F.max("reg").alias("reg"))

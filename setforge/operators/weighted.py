@@ -44,7 +44,7 @@ def item_points(items: DataFrame, m: int, points: int, family: str = "md5") -> D
 
 
 def sample_points(sets: DataFrame, m: int, points: int | None = None, family: str = "md5") -> DataFrame:
-    """Correlated slots (the point process of ProbMinHash 3 and 3a), from one table of points of the distinct items."""
+    """Correlated slots (one point process for each item), from one table of points of the distinct items."""
     arrivals = item_points(sets, m, points or 12 * m, family)
     rows = sets.join(arrivals, "item").select("set_id", "slot", (F.col("c") / F.col("weight")).alias("h"), "item")
     return _least(rows, "set_id", "slot")

@@ -12,6 +12,11 @@ Two ways make the blocks:
 * ``minhash`` (any radius): a pair of shingle similarity s meets with probability ``1-(1-s**rows)**bands``. A block over
   ``block_rows`` is cut in tiles and every pair of tiles is compared.
 
+With ``least`` (minhash blocks of shingle sets), a pair is a link only if the Jaccard similarity of its shingle sets is
+``least`` or more. Documents of equal sets are one node; blocks with the same members are compared once; the sets travel
+only to the blocks. In blocks of over 64 rows the fingerprints leave out pairs beyond the radius before that; smaller
+blocks are compared by sets alone.
+
 A block emits a spanning star of each of its local components, never its pairs. Exact copies are one node.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and is linked like any other;
@@ -21,6 +26,7 @@ rows without a doc_id take part, but have no component and never name one; an em
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +44,8 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np
 
 @dataclass(frozen=True)
 class SimHashParams:
-    """words per shingle, bits of a fingerprint (a multiple of 64), radius, whether repeats of a shingle count."""
+    """words per shingle, bits of a fingerprint (a multiple of 64), radius, whether repeats of a shingle count; least: the
+    similarity of shingle sets that a link must have, 0 for links by the radius alone."""
 
     words: int = 3
     bits: int = 64
@@ -48,6 +55,8 @@ class SimHashParams:
     bands: int = 12
     rows: int = 4
     block_rows: int = 2048
+    block_shingles: int = 2_000_000
+    least: float = 0.0
 
     def __post_init__(self):
         if self.words < 1 or self.bits % 64 or self.bits < 64 or self.radius < 0:
@@ -56,6 +65,8 @@ class SimHashParams:
             raise ValueError("pigeonhole blocks hold for 64 bits and a radius of 2 or less")
         if self.blocks not in ("pigeonhole", "minhash"):
             raise ValueError("blocks is pigeonhole or minhash")
+        if self.least and (not 0 < self.least <= 1 or self.blocks != "minhash" or self.repeats):
+            raise ValueError("least is a similarity of shingle sets (repeats=False) that meet in minhash blocks")
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -249,13 +260,57 @@ def block_stars(fps: np.ndarray, ids: np.ndarray, radius: int) -> list[tuple[int
     return stars
 
 
+def exact_stars(fps: np.ndarray, ids: np.ndarray, flat: np.ndarray, offs: np.ndarray, radius: int, least: float) -> list[tuple[int, int]]:
+    """As block_stars, for links of set similarity ``least`` or more; row k has the sorted hashes flat[offs[k]:offs[k+1]]."""
+    n, sizes = len(ids), np.diff(offs)
+    planes, bits = (_planes(fps), np.unpackbits(fps, axis=1)) if n > 64 else (None, None)
+    todo = np.ones(n, bool)
+    stars = []
+    for seed in range(n):
+        if not todo[seed]:
+            continue
+        todo[seed] = False
+        queue, members = [seed], [seed]
+        while queue:
+            q = queue.pop()
+            near = np.flatnonzero(todo)
+            if not len(near):
+                break
+            if planes is not None:
+                words = np.unique(near // 64)
+                hit = np.flatnonzero(np.unpackbits(bit_sliced(planes[:, words], bits[q], radius).view(np.uint8), bitorder="little"))
+                near = words[hit // 64] * 64 + hit % 64
+                near = near[near < n]
+                near = near[todo[near]]
+            near = near[np.minimum(sizes[near], sizes[q]) >= least * np.maximum(sizes[near], sizes[q]) - 1e-6]
+            own = flat[offs[q] : offs[q + 1]]
+            for at in range(0, len(near), 256):
+                some = near[at : at + 256]
+                whole = np.concatenate([flat[offs[k] : offs[k + 1]] for k in some.tolist()])
+                shared = own[np.minimum(np.searchsorted(own, whole), len(own) - 1)] == whole
+                both = np.add.reduceat(shared.astype(np.int64), np.concatenate(([0], np.cumsum(sizes[some])[:-1])))
+                found = some[both / (sizes[some] + sizes[q] - both) >= least]
+                todo[found] = False
+                queue += found.tolist()
+                members += found.tolist()
+        if len(members) > 1:
+            low = int(ids[members].min())
+            stars += [(low, int(ids[m])) for m in members if int(ids[m]) != low]
+    return stars
+
+
+def digest_of(h: np.ndarray) -> bytes:
+    return hashlib.md5(h.astype("<u8", copy=False).tobytes(), usedforsecurity=False).digest()
+
+
 def fingerprints(docs: DataFrame, p: SimHashParams) -> DataFrame:
-    """doc_id, fp (binary), n_shingles, keys (minhash bands; empty with pigeonhole) of every document."""
+    """doc_id, fp (binary), n_shingles, keys (minhash bands; empty with pigeonhole), whole (digest of the shingle set; null
+    without ``least``) of every document."""
 
     def made(ids: list, hashes: list[np.ndarray]) -> pa.RecordBatch:
         keys = keys_of(hashes, p.bands, p.rows) if p.blocks == "minhash" else [[] for _ in hashes]
-        cols = [pa.array(ids, pa.int64()), pa.array(prints_of(hashes, p.bits), pa.binary()), pa.array([len(h) for h in hashes], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "n_shingles", "keys"])
+        cols = [pa.array(ids, pa.int64()), pa.array(prints_of(hashes, p.bits), pa.binary()), pa.array([len(h) for h in hashes], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([digest_of(h) if p.least else None for h in hashes], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "n_shingles", "keys", "whole"])
 
     def run(batches):
         for batch in batches:
@@ -272,7 +327,7 @@ def fingerprints(docs: DataFrame, p: SimHashParams) -> DataFrame:
                 yield made(ids, hashes)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp binary, n_shingles long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, fp binary, n_shingles long, keys array<long>, whole binary")
 
 
 def _quarters(bits: F.Column, width: int) -> list:
@@ -343,6 +398,54 @@ def links(nodes: DataFrame, p: SimHashParams) -> DataFrame:
     return cut(_compare(both, p.radius).distinct(), "links")
 
 
+def shingle_sets(docs: DataFrame, p: SimHashParams) -> DataFrame:
+    """node (doc_id), whole, fp, shingles (sorted distinct hashes of 8 bytes) of every document."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                sets = [np.unique(shingle_hashes(t.as_py(), p.words)) for t in batch.column(1)]
+                cols = [batch.column(0), *(pa.array(x, pa.binary()) for x in ([digest_of(h) for h in sets], prints_of(sets, p.bits), [h.astype("<u8", copy=False).tobytes() for h in sets]))]
+                yield pa.RecordBatch.from_arrays(cols, ["node", "whole", "fp", "shingles"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "node long, whole binary, fp binary, shingles binary")
+
+
+def exact_links(nodes: DataFrame, docs: DataFrame, p: SimHashParams) -> DataFrame:
+    """Stars (a, b) of node ids over all blocks, by links of set similarity ``least``; nodes: node, whole, n_shingles, keys."""
+    rows = nodes.select("node", "whole", "n_shingles", F.explode("keys").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")).where("n > 1")
+    tiles = F.greatest(F.ceil(F.col("n") / p.block_rows), F.ceil(F.col("s") / p.block_shingles))
+    rows = cut(rows.join(sizes.select("key", tiles.alias("t")), "key"), "blocks")
+    cold = rows.where("t <= 1").select("node", "whole", F.col("key").cast("string").alias("block"))
+    hot = rows.where("t > 1").withColumn("own", F.pmod(F.xxhash64("node", "whole"), F.col("t")))
+    hot = hot.select("node", "whole", "key", "own", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("other"))
+    hot = hot.select("node", "whole", F.concat_ws("/", F.col("key").cast("string"), F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string")).alias("block"))
+    both = cold.unionByName(hot).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("node", "whole"))).alias("members")).where(F.size("members") > 1)
+    blocks = cut(both.select("members").distinct().withColumn("block", F.monotonically_increasing_id()), "members")
+    discard(rows)
+    member = blocks.select("block", F.explode("members").alias("m")).select("block", "m.node", "m.whole")
+    texts = docs.join(member.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = cut(shingle_sets(texts, p), "sets").dropDuplicates(["node", "whole"])
+    full = member.join(sets, ["node", "whole"]).groupBy("block").agg(F.collect_list(F.struct("node", "fp", "shingles")).alias("members"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                rows = batch.column(0).slice(k, 1).flatten()
+                ids = rows.field(0).to_numpy(zero_copy_only=False)
+                fps = np.frombuffer(b"".join(rows.field(1).to_pylist()), np.uint8).reshape(len(ids), -1)
+                sets = rows.field(2).to_pylist()
+                offs = np.concatenate(([0], np.cumsum([len(x) // 8 for x in sets])))
+                out += exact_stars(fps, ids, np.frombuffer(b"".join(sets), "<u8"), offs, p.radius, p.least)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+
+    return cut(full.select("members").mapInArrow(run, "a long, b long").distinct(), "links")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the smallest node reached.
 
@@ -374,9 +477,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
     """doc_id, fp (binary), component_id (smallest doc_id reachable, itself included), for every row of docs."""
     prints = cut(fingerprints(docs, p), "prints")
-    same = ["fp", "keys"]  # documents alike in all of these are one node
-    nodes = prints.groupBy(*same).agg(F.min("doc_id").alias("node"))
-    found = components(links(nodes.where("node is not null"), p))
+    same = ["whole"] if p.least else ["fp", "keys"]  # documents alike in all of these are one node
+    nodes = prints.groupBy(*same).agg(F.min("doc_id").alias("node"), *([F.first(c).alias(c) for c in ("n_shingles", "keys")] if p.least else []))
+    linked = nodes.where("node is not null")
+    found = components(exact_links(linked, docs, p) if p.least else links(linked, p))
     named = nodes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, same).select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -391,8 +495,10 @@ def keep_one(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
     return rows.unionByName(docs.where("doc_id is null"))
 
 
-#: Pipeline: 5-word shingle sets; 0.8 of similarity is an angle of 0.151 of a half turn, plus 1.6 standard deviations.
-NEAR_COPIES = SimHashParams(words=5, bits=512, radius=90, repeats=False, blocks="minhash")
+#: Pipeline: 5-word shingle sets, links of 0.8 by the sets themselves. The expected distance of fingerprints at 0.8 is 77 of
+#: 512 bits, and 96 (standard deviation 9) for sets of 4 and 5: the radius is 7 deviations more. 24 bands: a pair of 0.8
+#: meets with probability 0.999997.
+NEAR_COPIES = SimHashParams(words=5, bits=512, radius=160, repeats=False, blocks="minhash", bands=24, least=0.8)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

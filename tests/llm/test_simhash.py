@@ -113,3 +113,23 @@ def test_parameters():
     for bad in ({"bits": 65}, {"radius": 3}, {"blocks": "other"}, {"words": 0}):
         with pytest.raises(ValueError, match="."):
             S.SimHashParams(**bad)
+
+
+def test_near_copies_are_exact(spark):
+    """Short texts of similarity 0.8 are linked, 0.75 isn't; so in small blocks, in large ones and in tiles."""
+    rows, want = [], {}
+    for k in range(40):
+        words = [f"w{k}x{j}" for j in range(9)]
+        for n, text in ((0, words), (1, words[:8]), (2, words[:7])):  # 5, 4, 3 shingles: 0.8 and 0.75
+            rows.append((10 * k + n, " ".join(text)))
+            want[10 * k + n] = 10 * k + (2 if n == 2 else 0)
+    base = [f"b{k}" for k in range(124)]
+    for k in range(100):  # 120 shingles, one word of each text changed: 110 of 130 shared
+        rows.append((1000 + k, " ".join(base[:k] + [f"y{k}"] + base[k + 1 :])))
+        want[1000 + k] = 1000
+    rows.append((2000, " ".join(base[:96])))  # 92 shingles: 92 of 120 at most
+    want[2000] = 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for more in ({}, {"block_rows": 30}, {"block_shingles": 5000}):
+        p = S.SimHashParams(**{**S.NEAR_COPIES.__dict__, **more})
+        assert {r.doc_id: r.component_id for r in S.near_duplicates(docs, p).collect()} == want

@@ -2,8 +2,10 @@
 
 Texts become sequences of words in lower case without punctuation, in which numbers, names (capitalised words that do not
 begin a sentence) and units after a number are typed placeholders. Windows of ``window`` words of this template are
-hashed and joined with the benchmark's windows; benchmark windows that are mostly placeholders say nothing and are left
-out. A document holds an item if it has ``min(enough, windows of the item)`` of its windows.
+hashed and joined with the benchmark's windows. A window has up to three forms: this template; the one in which every
+capitalised word is a name, so that a sentence start may be either; and the words as written, in lower case, which don't
+depend on what stands before. Windows whose template is mostly placeholders say nothing and are left out. A document
+holds an item if it has ``min(enough, windows of the item)`` of its windows.
 
 Where the windows found have slots, the slot values are compared: along one alignment of document and item, every value
 of the item must stand for one value of the document. A re-parameterised question passes with its changed values; a chance
@@ -46,63 +48,99 @@ def _marked(text: Column) -> Column:
     return F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}\s{NAME}-{UNIT}]+", "")
 
 
-def template(text: Column) -> Column:
-    """The words of the template."""
-    return F.filter(F.split(_marked(text), r"\s+"), lambda w: w != "")
+def _forms(text: Column) -> Column:
+    """word (of the template), name (the same with every capitalised word a name), plain (as written, without punctuation)
+    and raw (as written), in lower case, of every word with a letter or a digit."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    both = F.arrays_zip(F.split(_marked(text), r"\s+").alias("word"), F.split(text, r"\s+").alias("raw"))
 
+    def forms(x: Column) -> Column:
+        word, raw = x["word"], F.lower(x["raw"])
+        slot = word.rlike(f"[{NAME}-{UNIT}]")
+        name = F.when(~slot & (x["raw"] != raw) & x["raw"].rlike(r"^[^\p{L}\p{N}]*\p{Lu}"), NAME).otherwise(word)
+        number = F.regexp_replace(raw, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")  # 3.5 isn't 35
+        plain = F.when(~slot, word).when(word.contains(NUMBER), number).otherwise(F.regexp_replace(raw, r"[^\p{L}\p{M}\p{N}]+", ""))
+        return F.struct(word.alias("word"), name.alias("name"), plain.alias("plain"), raw.alias("raw"))
 
-def _windows(words: Column, sizes: list[int]) -> Column:
-    """For each size, hashes of the windows of so many words, by position from 0; words is computed once."""
+    return F.transform(F.filter(both, lambda x: x["word"] != ""), forms)
 
-    def hashes(w: Column, size: int) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.xxhash64(F.slice(w, i, size)))
-        return F.when(F.size(w) >= size, each).otherwise(F.array().cast("array<bigint>"))
 
-    return F.element_at(F.transform(F.array(words), lambda w: F.array(*[hashes(w, s) for s in sizes])), 1)
+FORMS = ("word", "name", "plain")
+
+
+def _bound(value: Column, f) -> Column:
+    """f(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _hashes(forms: Column) -> Column:
+    """Hashes of the words, in each form."""
+    def of(words: Column, form: str) -> Column:
+        return F.transform(words, lambda x: F.xxhash64(x[form]))
+
+    return _bound(forms, lambda w: F.array(*[of(w, form) for form in FORMS]))
+
+
+def _windows(hashes: Column, sizes: list[int]) -> Column:
+    """For each size and form, hashes of the windows of so many words, by position from 0; none for a form that is the
+    first one for the whole text."""
+    empty = F.array().cast("array<bigint>")
+
+    def each(h: Column, size: int) -> Column:
+        out = F.transform(F.sequence(F.lit(1), F.size(h) - size + 1), lambda i: F.xxhash64(F.slice(h, i, size)))
+        return F.when(F.size(h) >= size, out).otherwise(empty)
+
+    def of(h: Column) -> Column:
+        return F.array(*[x for s in sizes for x in (each(h[0], s), *(F.when(h[k] == h[0], empty).otherwise(each(h[k], s)) for k in (1, 2)))])
+
+    return _bound(hashes, of)
 
 
 def item_windows(benchmark: DataFrame, p: LeakParams) -> DataFrame:
-    """item_id, size, item_pos, hash, slots (values by word, null for plain words), n_windows of the item."""
+    """item_id, size, item_pos, form, hash, slots (values by word, null for plain words), n_slots, light (the template says
+    something), and of the item n_light and n_all windows."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").dropDuplicates()
-    rows = rows.select("item_id", _pairs(F.col("text")).alias("pairs")).withColumn("words", F.transform("pairs", lambda x: x["word"]))
-    rows = rows.where(F.size("words") >= p.least_words).withColumn("size", F.least(F.size("words"), F.lit(p.window)))
-    at = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1), lambda i: F.struct((i - 1).alias("item_pos"), F.xxhash64(F.slice("words", i, F.col("size"))).alias("hash"), F.slice("pairs", i, F.col("size")).alias("part")))
-    rows = rows.select("item_id", "size", F.explode(at).alias("w")).select("item_id", "size", "w.*")
-    rows = rows.withColumn("slots", F.transform("part", lambda x: F.when(x["word"].rlike(f"[{NAME}-{UNIT}]"), x["raw"]))).drop("part")
-    rows = rows.withColumn("n_slots", F.size(F.filter("slots", lambda x: x.isNotNull()))).where(2 * F.col("n_slots") <= F.col("size"))
-    sizes = rows.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_windows")).withColumnRenamed("item_id", "i")
+    rows = rows.select("item_id", _forms(F.col("text")).alias("w")).where(F.size("w") >= p.least_words).withColumn("n", F.size("w")).withColumn("size", F.least(F.col("n"), F.lit(p.window)))
+    at = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1), lambda i: F.struct((i - 1).alias("item_pos"), F.slice("w", i, F.col("size")).alias("part")))
+    rows = rows.select("item_id", "size", "n", F.explode(at).alias("at")).select("item_id", "size", "n", "at.item_pos", "at.part")
+
+    def of(form: str) -> Column:
+        slots = F.transform("part", lambda x: F.when((F.lit(form) != "plain") & x[form].rlike(f"[{NAME}-{UNIT}]"), x["raw"]))
+        n_slots = F.size(F.filter(slots, lambda x: x.isNotNull()))
+        return F.struct(F.lit(form).alias("form"), F.xxhash64(F.transform("part", lambda x: F.xxhash64(x[form]))).alias("hash"), slots.alias("slots"), n_slots.alias("n_slots"))
+
+    rows = rows.withColumn("f", F.array(*[of(form) for form in FORMS]))
+    says = lambda x: (2 * x["n_slots"] <= F.col("size")) & (F.col("n") >= p.least_words)
+    rows = rows.withColumn("light", says(F.col("f")[0])).where("light")
+    rows = rows.withColumn("f", F.filter("f", lambda x: (x["form"] == "plain") | says(x)))
+    sizes = rows.groupBy("item_id").agg(F.countDistinct(F.when(F.col("light"), F.col("item_pos"))).alias("n_light"), F.countDistinct("item_pos").alias("n_all")).withColumnRenamed("item_id", "i")
+    rows = rows.select("item_id", "size", "item_pos", "light", F.explode("f").alias("f")).select("item_id", "size", "item_pos", "light", "f.*")
+    rows = rows.dropDuplicates(["item_id", "size", "item_pos", "hash", "n_slots"])
     return rows.join(sizes, rows["item_id"] == sizes["i"]).drop("i")
 
 
-def _pairs(text: Column) -> Column:
-    """(word of the template, word as written in lower case) of every word with a letter or a digit."""
-    raw = F.transform(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: F.lower(x))
-    both = F.arrays_zip(F.split(_marked(text), r"\s+").alias("word"), raw.alias("raw"))
-    return F.transform(F.filter(both, lambda x: x["word"] != ""), lambda x: F.struct(x["word"].alias("word"), x["raw"].alias("raw")))
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams()) -> DataFrame:
     """doc_id, item_id, n_hits, n_windows, n_slots, n_changed: a row for each item that a document holds."""
     items = item_windows(benchmark, p)
     n = items.count()
     sizes = sorted({r["size"] for r in items.select("size").distinct().collect()} | {p.window})  # window at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    own = items.select("item_id", "item_pos", "hash", "n_slots", "n_windows", "size")
+    own = items.select("item_id", "item_pos", "form", "hash", "n_slots", "light", "n_light", "n_all", "size")
     own = F.broadcast(own) if n <= p.broadcast_windows else own
-    hashed = rows.select("doc_id", _windows(template(F.col("text")), sizes).alias("h"))
-    if len(sizes) == 1:
-        hashed = hashed.select("doc_id", F.posexplode(F.get("h", F.lit(0))).alias("doc_pos", "hash"))
-    else:
-        hashed = hashed.select("doc_id", F.explode("h").alias("h")).select("doc_id", F.posexplode("h").alias("doc_pos", "hash"))
-    found = hashed.join(own, "hash")
-    found = found.groupBy("doc_id", "item_id", "item_pos", "doc_pos").agg(F.max("n_slots").alias("n_slots"), F.max("n_windows").alias("n_windows"), F.max("size").alias("size"))
-
-    need = F.least(F.lit(p.enough), F.col("n_windows"))
-    pairs = found.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("n_hits"), F.countDistinct(F.when(F.col("n_slots") == 0, F.col("item_pos"))).alias("n_plain"), F.max("n_windows").alias("n_windows"), F.max("n_slots").alias("slotted"))
-    pairs = pairs.where(F.col("n_hits") >= need)
+    hashed = rows.select("doc_id", _windows(_hashes(_forms(F.col("text"))), sizes).alias("h"))
+    hashed = hashed.select("doc_id", F.explode("h").alias("h")).select("doc_id", F.posexplode("h").alias("doc_pos", "hash"))
+    found = hashed.join(own, "hash").drop("hash").distinct()
+
+    held = found.groupBy("doc_id", "item_id", "item_pos").agg(F.max("light").alias("light"), (F.min("n_slots") == 0).alias("plain"), F.max("n_slots").alias("n_slots"), F.max("n_light").alias("n_light"), F.max("n_all").alias("n_all"))
+    count = lambda x, name: F.sum(x.cast("long")).alias(name)
+    pairs = held.groupBy("doc_id", "item_id").agg(count(F.col("light"), "light_hits"), F.count(F.lit(1)).alias("all_hits"), count(F.col("light") & F.col("plain"), "light_plain"), count(F.col("plain"), "all_plain"), F.max("n_light").alias("n_light"), F.max("n_all").alias("n_all"), F.max("n_slots").alias("slotted"))
+    enough = lambda hits, n: (F.col(n) > 0) & (F.col(hits) >= F.least(F.lit(p.enough), F.col(n)))
+    by_light = enough("light_hits", "n_light")
+    pairs = pairs.where(by_light | enough("all_hits", "n_all"))
+    pairs = pairs.withColumns({"n_hits": F.when(by_light, F.col("light_hits")).otherwise(F.col("all_hits")), "n_windows": F.when(by_light, F.col("n_light")).otherwise(F.col("n_all"))})
     if not (items.where("n_slots > 0").isEmpty()):
         pairs = pairs.join(_slot_check(rows, items, found.where("n_slots > 0")), ["doc_id", "item_id"], "left")
-        ok = (F.col("slotted") == 0) | (F.col("n_agree") >= p.consistent * F.col("n_slots")) | (F.col("n_plain") >= need)
+        ok = (F.col("slotted") == 0) | (F.col("n_agree") >= p.consistent * F.col("n_slots")) | enough("light_plain", "n_light") | enough("all_plain", "n_all")
         pairs = pairs.where(ok)
     else:
         pairs = pairs.withColumns({"n_slots": F.lit(0).cast("long"), "n_changed": F.lit(0).cast("long")})
@@ -111,8 +149,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams()) -
 
 def _slot_check(docs: DataFrame, items: DataFrame, hits: DataFrame) -> DataFrame:
     """doc_id, item_id, n_slots, n_agree, n_changed of the pair's best alignment."""
-    wanted = hits.join(items.select("item_id", "item_pos", "slots"), ["item_id", "item_pos"]).select("doc_id", "item_id", "doc_pos", "item_pos", "slots", "size")
-    texts = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.transform(_pairs(F.col("text")), lambda x: x["raw"]).alias("raw"))
+    wanted = hits.join(items.select("item_id", "item_pos", "form", "slots"), ["item_id", "item_pos", "form"]).select("doc_id", "item_id", "doc_pos", "item_pos", "slots", "size")
+    texts = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.transform(_forms(F.col("text")), lambda x: x["raw"]).alias("raw"))
     both = wanted.join(texts, "doc_id").select("doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("shift"), "item_pos", F.arrays_zip("slots", F.slice("raw", F.col("doc_pos") + 1, F.col("size")).alias("value")).alias("z"))
     each = both.select("doc_id", "item_id", "shift", "item_pos", F.posexplode("z").alias("k", "z")).where("z.slots is not null")
     each = each.select("doc_id", "item_id", "shift", (F.col("item_pos") + F.col("k")).alias("at"), F.col("z.slots").alias("asked"), F.col("z.value").alias("given")).distinct()

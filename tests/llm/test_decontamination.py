@@ -51,3 +51,11 @@ def test_odd_rows(spark, odd, clash):
         assert kept.columns == docs.columns and kept.count() == 8
     assert D.leaks(odd.limit(0), items).count() == D.leaks(odd, items.limit(0)).count() == 0
     assert D.clean(odd, items.limit(0)).count() == 11
+
+
+def test_what_stands_before_does_not_matter(spark):
+    items = [(1, "What is the capital of the old kingdom?"), (2, "Tom has 3 apples. Tom eats 2. How many apples are left for lunch today?"), (3, "What year did Anna Smith leave the small town of Paris for good?")]
+    docs = [(1, "- What is the capital of the old kingdom?"), (2, "Question\nWhat is the capital of the old kingdom?"), (3, "(What is the capital of the old kingdom?)"), (4, "so, Bob has 5 apples. Bob eats 4. How many apples are left for lunch today?")]
+    docs += [(5, "Answer this What year did Anna Smith leave the small town of Paris for good?"), (6, "what is the capital of the new kingdom?")]
+    got = {(r.doc_id, r.item_id) for r in D.leaks(*frames(spark, docs, items)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3)}

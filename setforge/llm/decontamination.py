@@ -4,8 +4,9 @@ Texts become sequences of words in lower case without punctuation, in which numb
 begin a sentence) and units after a number are typed placeholders. Windows of ``window`` words of this template are
 hashed and joined with the benchmark's windows. A window has up to three forms: this template; the one in which every
 capitalised word is a name, so that a sentence start may be either; and the words as written, in lower case, which don't
-depend on what stands before. Windows whose template is mostly placeholders say nothing and are left out. A document
-holds an item if it has ``min(enough, windows of the item)`` of its windows.
+depend on what stands before. Templates that are mostly placeholders say nothing: such windows, and items under
+``least_words`` words, are compared as written only. A document holds an item if it has ``min(enough, windows)`` of its
+windows, counted over those whose template says something or over all.
 
 Where the windows found have slots, the slot values are compared: along one alignment of document and item, every value
 of the item must stand for one value of the document. A re-parameterised question passes with its changed values; a chance
@@ -14,8 +15,8 @@ meeting of templates does not, and is judged by its windows without slots alone.
 Built-in expressions only. The benchmark's windows are broadcast up to ``broadcast_windows`` of them; beyond that the join
 is shuffled. Document texts are read once for the windows; a second time only if a window found has slots.
 
-Defined results: null texts have no words; items under ``least_words`` words are never found; shorter items than a window
-are one window of their own length; repeated rows count once; empty tables give an empty result; null ids are left out;
+Defined results: null texts and texts without words hold nothing and are never found; punctuation between words doesn't
+count; n_windows is that of the count that sufficed; shorter items than a window are one window of their own length; repeated rows count once; empty tables give an empty result; null ids are left out;
 other columns of the inputs are ignored.
 """
 
@@ -100,7 +101,7 @@ def item_windows(benchmark: DataFrame, p: LeakParams) -> DataFrame:
     """item_id, size, item_pos, form, hash, slots (values by word, null for plain words), n_slots, light (the template says
     something), and of the item n_light and n_all windows."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").dropDuplicates()
-    rows = rows.select("item_id", _forms(F.col("text")).alias("w")).where(F.size("w") >= p.least_words).withColumn("n", F.size("w")).withColumn("size", F.least(F.col("n"), F.lit(p.window)))
+    rows = rows.select("item_id", _forms(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("n", F.size("w")).withColumn("size", F.least(F.col("n"), F.lit(p.window)))
     at = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1), lambda i: F.struct((i - 1).alias("item_pos"), F.slice("w", i, F.col("size")).alias("part")))
     rows = rows.select("item_id", "size", "n", F.explode(at).alias("at")).select("item_id", "size", "n", "at.item_pos", "at.part")
 
@@ -111,7 +112,7 @@ def item_windows(benchmark: DataFrame, p: LeakParams) -> DataFrame:
 
     rows = rows.withColumn("f", F.array(*[of(form) for form in FORMS]))
     says = lambda x: (2 * x["n_slots"] <= F.col("size")) & (F.col("n") >= p.least_words)
-    rows = rows.withColumn("light", says(F.col("f")[0])).where("light")
+    rows = rows.withColumn("light", says(F.col("f")[0]))
     rows = rows.withColumn("f", F.filter("f", lambda x: (x["form"] == "plain") | says(x)))
     sizes = rows.groupBy("item_id").agg(F.countDistinct(F.when(F.col("light"), F.col("item_pos"))).alias("n_light"), F.countDistinct("item_pos").alias("n_all")).withColumnRenamed("item_id", "i")
     rows = rows.select("item_id", "size", "item_pos", "light", F.explode("f").alias("f")).select("item_id", "size", "item_pos", "light", "f.*")

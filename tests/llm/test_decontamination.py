@@ -59,3 +59,11 @@ def test_what_stands_before_does_not_matter(spark):
     docs += [(5, "Answer this What year did Anna Smith leave the small town of Paris for good?"), (6, "what is the capital of the new kingdom?")]
     got = {(r.doc_id, r.item_id) for r in D.leaks(*frames(spark, docs, items)).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3)}
+
+
+def test_slot_heavy_and_very_short_items(spark):
+    items = [(1, "What is 12 + 7 * 3?"), (2, "Add 3.5 kg"), (3, "12/05/2001 13/06/2002 14/07/2003 15/08/2004 16/09/2005"), (4, "too short")]
+    docs = [(1, "Here: what is 12 + 7 * 3? Easy."), (2, "What is 13 + 7 * 3?"), (3, "please add 3.5 kg now"), (4, "please add 35 kg now"), (5, "on 12/05/2001 13/06/2002 14/07/2003 15/08/2004 16/09/2005"), (6, "is it short")]
+    got = {(r.doc_id, r.item_id): r for r in D.leaks(*frames(spark, docs, items)).collect()}
+    assert set(got) == {(1, 1), (3, 2), (5, 3)}
+    assert all(r.n_hits == r.n_windows == 1 and r.n_changed == 0 for r in got.values())

@@ -1,23 +1,27 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become sequences of words in lower case without punctuation, in which numbers, names (capitalised words that do not
-begin a sentence) and units after a number are typed placeholders. Windows of ``window`` words of this template are
-hashed and joined with the benchmark's windows. A window has up to three forms: this template; the one in which every
-capitalised word is a name, so that a sentence start may be either; and the words as written, in lower case, which don't
-depend on what stands before. Templates that are mostly placeholders say nothing: such windows, and items under
-``least_words`` words, are compared as written only. A document holds an item if it has ``min(enough, windows)`` of its
-windows, counted over those whose template says something or over all.
-
-Where the windows found have slots, the slot values are compared: along one alignment of document and item, every value
-of the item must stand for one value of the document. A re-parameterised question passes with its changed values; a chance
-meeting of templates does not, and is judged by its windows without slots alone.
+A text is read in two forms, each a function of the words alone, whatever stands around them. In the *template*, numbers,
+names (every capitalised word, so that the start of a sentence is no special case) and units after a number are typed
+placeholders; in the *literal* form words are as written, in lower case. Windows of ``window`` words of both forms are
+hashed and joined with the windows of the benchmark. Template windows that are mostly placeholders say nothing and are
+not compared, nor are templates of items under ``least_words`` words: the literal form holds for these.
+
+A document holds an item if it has ``min(enough, windows)`` of the item's literal windows, or as many of its template
+windows along consistent alignments. An alignment sets the slot values (what the placeholders stand for) of the item
+against those of the document: for ``consistent`` of the slots a value of the item must stand for one value of the
+document throughout, and the item's different values must not run together (the document has at least ``apart`` times as many
+different values as the item). So a re-parameterised question is found with its changed values, and a chance
+meeting of templates isn't. A template window has at least as many plain words as slots, which the document shares.
 
 Built-in expressions only. The benchmark's windows are broadcast up to ``broadcast_windows`` of them; beyond that the join
-is shuffled. Document texts are read once for the windows; a second time only if a window found has slots.
+is shuffled. Document texts are read once for the windows; slot values are read from the candidates only.
 
 Defined results: null texts and texts without words hold nothing and are never found; punctuation between words doesn't
-count; n_windows is that of the count that sufficed; shorter items than a window are one window of their own length; repeated rows count once; empty tables give an empty result; null ids are left out;
-other columns of the inputs are ignored.
+count; n_hits and n_windows are of the template where it suffices, else of the literal form, and n_slots, n_changed of
+the template's consistent alignment with most slots (0 where there is none); items shorter than a window are one window
+of their own length, so a very short item is held by every document with these words in a row; repeated rows count once,
+and rows with an id in common are compared text by text; empty tables give an empty result; null ids are left out; other
+columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +31,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from setforge.llm.common import cut
+
 #: Placeholders: name, number, unit.
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 UNITS = "kilometers?|kilometres?|meters?|metres?|miles?|inches|feet|km|cm|mm|kg|mg|ml|grams?|liters?|litres?|pounds?|dollars?|euros?|cents?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|percent|degrees?|mph|kmh|usd|eur|hz|khz|mhz|gb|mb|%|\\$|€|£|°c|°f|°"
+_NUM = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
+_TAIL = r"[\p{L}\p{M}'’-]"
+_NAMES = rf"\p{{Lu}}(?<![\p{{L}}\p{{M}}\p{{N}}].){_TAIL}*"
+_GAP = r"(?:[^\p{L}\p{M}\p{N}.,:/]|[.,:/](?:(?<!\p{Nd}.)|(?!\p{Nd})))+"  # 3.5 is one word
+_TEMPLATE_GAP = rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}]+"
+_NO_UNIT = rf"(?![\p{{L}}\p{{N}}{NUMBER}])"
+_PIECES = rf"(?:{NAME}{_TAIL}+|{NUMBER}{_NUM}|{UNIT}(?:{UNITS})|[\p{{L}}\p{{M}}\p{{N}}])+"
+TEMPLATE, LITERAL = 0, 1
 
 
 @dataclass(frozen=True)
@@ -38,127 +52,116 @@ class LeakParams:
     enough: int = 6
     least_words: int = 4
     consistent: float = 0.8
+    apart: float = 0.6
     broadcast_windows: int = 500_000
 
 
-def _marked(text: Column) -> Column:
-    """The text, names marked, in lower case, with placeholders; words stay where they are between white space."""
-    t = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"(?<=[^\s.!?:;\"|]\s)\p{Lu}[\p{L}\p{M}'’-]*", NAME)
-    t = F.regexp_replace(F.lower(t), r"\p{Nd}+(?:[.,:/]\p{Nd}+)*", NUMBER)
-    t = F.regexp_replace(t, rf"{NUMBER}(\s?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1{UNIT}")
-    return F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}\s{NAME}-{UNIT}]+", "")
-
-
-def _forms(text: Column) -> Column:
-    """word (of the template), name (the same with every capitalised word a name), plain (as written, without punctuation)
-    and raw (as written), in lower case, of every word with a letter or a digit."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    both = F.arrays_zip(F.split(_marked(text), r"\s+").alias("word"), F.split(text, r"\s+").alias("raw"))
-
-    def forms(x: Column) -> Column:
-        word, raw = x["word"], F.lower(x["raw"])
-        slot = word.rlike(f"[{NAME}-{UNIT}]")
-        name = F.when(~slot & (x["raw"] != raw) & x["raw"].rlike(r"^[^\p{L}\p{N}]*\p{Lu}"), NAME).otherwise(word)
-        number = F.regexp_replace(raw, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")  # 3.5 isn't 35
-        plain = F.when(~slot, word).when(word.contains(NUMBER), number).otherwise(F.regexp_replace(raw, r"[^\p{L}\p{M}\p{N}]+", ""))
-        return F.struct(word.alias("word"), name.alias("name"), plain.alias("plain"), raw.alias("raw"))
-
-    return F.transform(F.filter(both, lambda x: x["word"] != ""), forms)
+def _plain(text: Column) -> Column:
+    """The text, without the characters that serve as placeholders; null counts as empty."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    return F.when(t.rlike(f"[{NAME}-{UNIT}]"), F.translate(t, NAME + NUMBER + UNIT, "   ")).otherwise(t)
 
 
-FORMS = ("word", "name", "plain")
+def template_words(text: Column) -> Column:
+    """Words of the template; may begin and end with an empty one."""
+    t = F.lower(F.regexp_replace(text, _NAMES, NAME))
+    t = F.regexp_replace(t, _NUM, NUMBER)
+    t = F.regexp_replace(t, rf"{NUMBER}[ \t\n\r]?(?:{UNITS}){_NO_UNIT}", f"{NUMBER} {UNIT}")
+    return F.split(t, _TEMPLATE_GAP)
 
 
-def _bound(value: Column, f) -> Column:
-    """f(value) with value computed once."""
-    return F.element_at(F.transform(F.array(value), f), 1)
+def literal_words(text: Column) -> Column:
+    """Words as written, in lower case; may begin and end with an empty one."""
+    return F.split(F.lower(text), _GAP)
 
 
-def _hashes(forms: Column) -> Column:
-    """Hashes of the words, in each form."""
-    def of(words: Column, form: str) -> Column:
-        return F.transform(words, lambda x: F.xxhash64(x[form]))
+def slot_words(text: Column) -> Column:
+    """Words of the template, one for one, but with what each placeholder stands for behind it."""
+    t = F.lower(F.regexp_replace(text, _NAMES, f"{NAME}$0"))
+    t = F.regexp_replace(t, _NUM, f"{NUMBER}$0")
+    t = F.regexp_replace(t, rf"({NUMBER}{_NUM})[ \t\n\r]?({UNITS}){_NO_UNIT}", f"$1 {UNIT}$2")
+    return F.regexp_extract_all(t, F.lit(_PIECES), 0)
 
-    return _bound(forms, lambda w: F.array(*[of(w, form) for form in FORMS]))
 
+def _hashed(words: Column) -> Column:
+    return F.array_remove(F.transform(words, lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
-def _windows(hashes: Column, sizes: list[int]) -> Column:
-    """For each size and form, hashes of the windows of so many words, by position from 0; none for a form that is the
-    first one for the whole text."""
-    empty = F.array().cast("array<bigint>")
 
-    def each(h: Column, size: int) -> Column:
-        out = F.transform(F.sequence(F.lit(1), F.size(h) - size + 1), lambda i: F.xxhash64(F.slice(h, i, size)))
-        return F.when(F.size(h) >= size, out).otherwise(empty)
+def _kind(size: int, form: int) -> int:
+    return 2 * size + form
 
-    def of(h: Column) -> Column:
-        return F.array(*[x for s in sizes for x in (each(h[0], s), *(F.when(h[k] == h[0], empty).otherwise(each(h[k], s)) for k in (1, 2)))])
 
-    return _bound(hashes, of)
+def _windows(h: Column, size: int, form: int) -> Column:
+    out = F.transform(F.sequence(F.lit(1), F.size(h) - size + 1), lambda i: F.xxhash64(F.slice(h, i, size), F.lit(_kind(size, form))))
+    return F.when(F.size(h) >= size, out).otherwise(F.array().cast("array<bigint>"))
 
 
 def item_windows(benchmark: DataFrame, p: LeakParams) -> DataFrame:
-    """item_id, size, item_pos, form, hash, slots (values by word, null for plain words), n_slots, light (the template says
-    something), and of the item n_light and n_all windows."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").dropDuplicates()
-    rows = rows.select("item_id", _forms(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("n", F.size("w")).withColumn("size", F.least(F.col("n"), F.lit(p.window)))
-    at = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1), lambda i: F.struct((i - 1).alias("item_pos"), F.slice("w", i, F.col("size")).alias("part")))
-    rows = rows.select("item_id", "size", "n", F.explode(at).alias("at")).select("item_id", "size", "n", "at.item_pos", "at.part")
-
-    def of(form: str) -> Column:
-        slots = F.transform("part", lambda x: F.when((F.lit(form) != "plain") & x[form].rlike(f"[{NAME}-{UNIT}]"), x["raw"]))
-        n_slots = F.size(F.filter(slots, lambda x: x.isNotNull()))
-        return F.struct(F.lit(form).alias("form"), F.xxhash64(F.transform("part", lambda x: F.xxhash64(x[form]))).alias("hash"), slots.alias("slots"), n_slots.alias("n_slots"))
-
-    rows = rows.withColumn("f", F.array(*[of(form) for form in FORMS]))
-    says = lambda x: (2 * x["n_slots"] <= F.col("size")) & (F.col("n") >= p.least_words)
-    rows = rows.withColumn("light", says(F.col("f")[0]))
-    rows = rows.withColumn("f", F.filter("f", lambda x: (x["form"] == "plain") | says(x)))
-    sizes = rows.groupBy("item_id").agg(F.countDistinct(F.when(F.col("light"), F.col("item_pos"))).alias("n_light"), F.countDistinct("item_pos").alias("n_all")).withColumnRenamed("item_id", "i")
-    rows = rows.select("item_id", "size", "item_pos", "light", F.explode("f").alias("f")).select("item_id", "size", "item_pos", "light", "f.*")
-    rows = rows.dropDuplicates(["item_id", "size", "item_pos", "hash", "n_slots"])
-    return rows.join(sizes, rows["item_id"] == sizes["i"]).drop("i")
+    """key (of id and text), item_id, form, size, item_pos, hash, slots (values by word, null for plain words), n_slots, n (the
+    item's windows of this form)."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("t")).where("item_id is not null and t is not null").dropDuplicates()
+    rows = rows.select("item_id", F.xxhash64("item_id", "t").alias("key"), _plain(F.col("t")).alias("t"))
+    whole = lambda words: F.filter(words, lambda w: w != "")
+    slots = F.transform(slot_words(F.col("t")), lambda w: F.when(w.rlike(f"[{NAME}-{UNIT}]"), w))
+    forms = F.array(
+        F.struct(F.lit(TEMPLATE).alias("form"), whole(template_words(F.col("t"))).alias("words"), slots.alias("slots")),
+        F.struct(F.lit(LITERAL).alias("form"), whole(literal_words(F.col("t"))).alias("words"), F.array().cast("array<string>").alias("slots")),
+    )
+    rows = rows.select("item_id", "key", F.explode(forms).alias("f")).select("item_id", "key", "f.*").withColumn("words_in", F.size("words")).where("words_in > 0")
+    rows = rows.withColumn("size", F.least("words_in", F.lit(p.window))).where(F.col("words_in") >= F.when(F.col("form") == TEMPLATE, p.least_words).otherwise(1))
+    at = F.transform(F.sequence(F.lit(1), F.col("words_in") - F.col("size") + 1), lambda i: F.struct(i.alias("i"), F.slice("words", i, F.col("size")).alias("part"), F.slice("slots", i, F.col("size")).alias("slots")))
+    rows = rows.select("item_id", "key", "form", "size", F.explode(at).alias("at"))
+    rows = rows.select("item_id", "key", "form", "size", (F.col("at.i") - 1).alias("item_pos"), F.col("at.part").alias("part"), F.col("at.slots").alias("slots"))
+    rows = rows.withColumn("n_slots", F.size(F.filter("slots", lambda s: s.isNotNull()))).where("2 * n_slots <= size")
+    rows = rows.withColumn("hash", F.xxhash64(F.transform("part", lambda w: F.xxhash64(w)), (2 * F.col("size") + F.col("form")).cast("int")))
+    n = rows.groupBy("key", "form").agg(F.count(F.lit(1)).alias("n"))
+    return rows.drop("part").join(n, ["key", "form"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams()) -> DataFrame:
     """doc_id, item_id, n_hits, n_windows, n_slots, n_changed: a row for each item that a document holds."""
-    items = item_windows(benchmark, p)
-    n = items.count()
-    sizes = sorted({r["size"] for r in items.select("size").distinct().collect()} | {p.window})  # window at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    own = items.select("item_id", "item_pos", "form", "hash", "n_slots", "light", "n_light", "n_all", "size")
-    own = F.broadcast(own) if n <= p.broadcast_windows else own
-    hashed = rows.select("doc_id", _windows(_hashes(_forms(F.col("text"))), sizes).alias("h"))
-    hashed = hashed.select("doc_id", F.explode("h").alias("h")).select("doc_id", F.posexplode("h").alias("doc_pos", "hash"))
-    found = hashed.join(own, "hash").drop("hash").distinct()
-
-    held = found.groupBy("doc_id", "item_id", "item_pos").agg(F.max("light").alias("light"), (F.min("n_slots") == 0).alias("plain"), F.max("n_slots").alias("n_slots"), F.max("n_light").alias("n_light"), F.max("n_all").alias("n_all"))
-    count = lambda x, name: F.sum(x.cast("long")).alias(name)
-    pairs = held.groupBy("doc_id", "item_id").agg(count(F.col("light"), "light_hits"), F.count(F.lit(1)).alias("all_hits"), count(F.col("light") & F.col("plain"), "light_plain"), count(F.col("plain"), "all_plain"), F.max("n_light").alias("n_light"), F.max("n_all").alias("n_all"), F.max("n_slots").alias("slotted"))
-    enough = lambda hits, n: (F.col(n) > 0) & (F.col(hits) >= F.least(F.lit(p.enough), F.col(n)))
-    by_light = enough("light_hits", "n_light")
-    pairs = pairs.where(by_light | enough("all_hits", "n_all"))
-    pairs = pairs.withColumns({"n_hits": F.when(by_light, F.col("light_hits")).otherwise(F.col("all_hits")), "n_windows": F.when(by_light, F.col("n_light")).otherwise(F.col("n_all"))})
-    if not (items.where("n_slots > 0").isEmpty()):
-        pairs = pairs.join(_slot_check(rows, items, found.where("n_slots > 0")), ["doc_id", "item_id"], "left")
-        ok = (F.col("slotted") == 0) | (F.col("n_agree") >= p.consistent * F.col("n_slots")) | enough("light_plain", "n_light") | enough("all_plain", "n_all")
-        pairs = pairs.where(ok)
-    else:
-        pairs = pairs.withColumns({"n_slots": F.lit(0).cast("long"), "n_changed": F.lit(0).cast("long")})
-    return pairs.select("doc_id", "item_id", "n_hits", F.col("n_windows").cast("long").alias("n_windows"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"))
-
-
-def _slot_check(docs: DataFrame, items: DataFrame, hits: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_slots, n_agree, n_changed of the pair's best alignment."""
-    wanted = hits.join(items.select("item_id", "item_pos", "form", "slots"), ["item_id", "item_pos", "form"]).select("doc_id", "item_id", "doc_pos", "item_pos", "slots", "size")
-    texts = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.transform(_forms(F.col("text")), lambda x: x["raw"]).alias("raw"))
-    both = wanted.join(texts, "doc_id").select("doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("shift"), "item_pos", F.arrays_zip("slots", F.slice("raw", F.col("doc_pos") + 1, F.col("size")).alias("value")).alias("z"))
-    each = both.select("doc_id", "item_id", "shift", "item_pos", F.posexplode("z").alias("k", "z")).where("z.slots is not null")
-    each = each.select("doc_id", "item_id", "shift", (F.col("item_pos") + F.col("k")).alias("at"), F.col("z.slots").alias("asked"), F.col("z.value").alias("given")).distinct()
-    values = each.groupBy("doc_id", "item_id", "shift", "asked").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("given").alias("kinds"), F.sum((F.col("asked") != F.col("given")).cast("long")).alias("changed"))
-    lines = values.groupBy("doc_id", "item_id", "shift").agg(F.sum("n").alias("n_slots"), F.sum(F.when(F.col("kinds") == 1, F.col("n")).otherwise(0)).alias("n_agree"), F.sum("changed").alias("n_changed"))
-    best = lines.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_agree", "n_slots", (-F.col("n_changed")).alias("c"))).alias("b"))
-    return best.select("doc_id", "item_id", "b.n_slots", "b.n_agree", (-F.col("b.c")).alias("n_changed"))
+    items = cut(item_windows(benchmark, p), "items")
+    kinds = sorted((r["size"], r["form"]) for r in items.select("size", "form").distinct().collect())  # at most two a size
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _plain(F.col("text")).alias("t")).where("doc_id is not null")
+    own = items.select("hash", "key", "form", "item_pos", "n_slots", "n")
+    own = F.broadcast(own) if items.count() <= p.broadcast_windows else own
+    hashed = rows.select("doc_id", F.xxhash64("t").alias("d"), _hashed(template_words(F.col("t"))).alias("h0"), _hashed(literal_words(F.col("t"))).alias("h1"))
+    none = F.array().cast("array<bigint>")
+    hashed = hashed.select("doc_id", "d", F.explode(F.array(*[_windows(F.col(f"h{form}"), size, form) for size, form in kinds], none)).alias("h"))
+    hashed = hashed.select("doc_id", "d", F.posexplode("h").alias("doc_pos", "hash"))
+    found = hashed.join(own, "hash").drop("hash")
+
+    pair = ["doc_id", "d", "key"]
+    enough = F.col("n_hits") >= F.least(F.lit(p.enough), F.col("n"))
+    found = cut(found, "hits")
+    counts = found.groupBy(*pair, "form").agg(F.countDistinct("item_pos").alias("n_hits"), F.first("n").alias("n"), F.max("n_slots").alias("slotted")).where(enough)
+    zero = F.lit(0).cast("long")
+    literal = counts.where(F.col("form") == LITERAL).select(*pair, "form", "n_hits", "n", zero.alias("n_slots"), zero.alias("n_changed"))
+    template = counts.where(F.col("form") == TEMPLATE)
+    hits = found.where(F.col("form") == TEMPLATE).join(template.select(*pair), pair, "left_semi").withColumn("shift", F.col("doc_pos") - F.col("item_pos"))
+    lines = _alignments(rows, items, hits.where("n_slots > 0"))
+    lines = hits.join(lines, [*pair, "shift"], "left").where(F.coalesce((F.col("n_agree") >= p.consistent * F.col("slots")) & (F.col("n_given") >= p.apart * F.col("n_asked")), F.lit(True)))
+    best = F.max(F.struct(F.coalesce("slots", zero).alias("slots"), (-F.coalesce("n_changed", zero)).alias("c")))
+    lines = lines.groupBy(*pair).agg(F.countDistinct("item_pos").alias("n_hits"), F.first("n").alias("n"), best.alias("b")).where(enough)
+    both = literal.unionByName(lines.select(*pair, F.lit(TEMPLATE).alias("form"), "n_hits", "n", F.col("b.slots").alias("n_slots"), (-F.col("b.c")).alias("n_changed")))
+    both = both.join(items.select("key", "item_id").distinct(), "key")
+    one = F.max(F.struct((-F.col("form")).alias("f"), "n_hits", F.col("n").alias("n_windows"), "n_slots", "n_changed")).alias("one")
+    return both.groupBy("doc_id", "item_id").agg(one).select("doc_id", "item_id", "one.n_hits", "one.n_windows", "one.n_slots", "one.n_changed")
+
+
+def _alignments(docs: DataFrame, items: DataFrame, hits: DataFrame) -> DataFrame:
+    """For each alignment with slots: slots, n_agree (slots whose item value stands for one value), n_asked and n_given
+    (different values of the item and of the document), n_changed."""
+    line = ["doc_id", "d", "key", "shift"]
+    wanted = hits.select(*line, "doc_pos", "item_pos").join(items.where(F.col("form") == TEMPLATE).select("key", "item_pos", "size", F.col("slots").alias("asked")), ["key", "item_pos"])
+    some = wanted.select("doc_id", "d").distinct()
+    words = docs.withColumn("d", F.xxhash64("t")).join(some, ["doc_id", "d"], "left_semi").select("doc_id", "d", slot_words(F.col("t")).alias("words"))
+    each = wanted.join(words, ["doc_id", "d"]).select(*line, "item_pos", F.posexplode(F.arrays_zip("asked", F.slice("words", F.col("doc_pos") + 1, F.col("size")).alias("given"))).alias("k", "z"))
+    each = each.where("z.asked is not null").select(*line, (F.col("item_pos") + F.col("k")).alias("at"), F.col("z.asked").alias("asked"), F.col("z.given").alias("given")).distinct()
+    asked = each.groupBy(*line, "asked").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("given").alias("kinds"), F.sum((F.col("asked") != F.col("given")).cast("long")).alias("changed"))
+    asked = asked.groupBy(*line).agg(F.sum("n").alias("slots"), F.sum(F.when(F.col("kinds") == 1, F.col("n")).otherwise(0)).alias("n_agree"), F.count(F.lit(1)).alias("n_asked"), F.sum("changed").alias("n_changed"))
+    given = each.groupBy(*line).agg(F.countDistinct("given").alias("n_given"))
+    return asked.join(given, line)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams()) -> DataFrame:
@@ -173,27 +176,40 @@ def op1_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def op1_sql(p: LeakParams = LeakParams()) -> str:
-    """The same in DuckDB, for benchmarks whose windows hold no slots, as those of the given tables; slots are held against
-    brute force."""
-
-    def words(text: str) -> str:
-        name = rf"regexp_replace(%s, '([^\s.!?:;\"|]\s)\p{{Lu}}[\p{{L}}\p{{M}}''’-]*', '\1' || chr(1), 'g')"
-        t = name % (name % text)  # neighbours in a run of names take turns
-        t = rf"regexp_replace(lower({t}), '\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*', chr(2), 'g')"
-        t = rf"regexp_replace({t}, chr(2) || '(\s?)(?:{UNITS})([^\p{{L}}\p{{N}}]|$)', chr(2) || '\1' || chr(3) || '\2', 'g')"
-        t = rf"regexp_replace({t}, '[^\p{{L}}\p{{M}}\p{{N}}\s\x01-\x03]+', '', 'g')"
-        return rf"list_filter(regexp_split_to_array({t}, '\s+'), lambda w: w <> '')"
-
-    return f"""
-WITH b AS (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-i AS (SELECT item_id, {words("text")} AS words FROM b),
-s AS (SELECT item_id, words, least(len(words), {p.window}) AS size FROM i WHERE len(words) >= {p.least_words}),
-a AS (SELECT item_id, size, words, unnest(range(1, len(words) - size + 2)) AS pos FROM s),
-w AS (SELECT item_id, size, pos, words[pos : pos + size - 1] AS part FROM a),
-k AS (SELECT item_id, size, pos, array_to_string(part, ' ') AS t FROM w WHERE 2 * len(list_filter(part, lambda x: regexp_matches(x, '[\\x01-\\x03]'))) <= size),
-n AS (SELECT item_id, count(DISTINCT pos) AS n_windows FROM k GROUP BY item_id),
-d AS (SELECT doc_id, {words("coalesce(text, '')")} AS words FROM documents WHERE doc_id IS NOT NULL),
-x AS (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS pos FROM d, (SELECT DISTINCT size FROM k UNION SELECT {p.window})),
-h AS (SELECT doc_id, item_id, count(DISTINCT k.pos) AS n_hits FROM x JOIN k ON k.size = x.size AND k.t = array_to_string(words[x.pos : x.pos + x.size - 1], ' ') GROUP BY doc_id, item_id)
-SELECT doc_id, h.item_id, n_hits, n_windows, 0::BIGINT AS n_slots, 0::BIGINT AS n_changed FROM h JOIN n ON n.item_id = h.item_id WHERE n_hits >= least({p.enough}, n_windows)
+    """The same in DuckDB, slots included; windows are joined as text."""
+    name = r"'(^|[^\p{L}\p{M}\p{N}])(\p{Lu}[\p{L}\p{M}''’-]*)'"
+    raw = rf"lower(regexp_replace(translate(text, '{NAME}{NUMBER}{UNIT}', '   '), {name}, '\1{NAME}\2', 'g'))"
+    raw = rf"regexp_replace({raw}, '({_NUM})', '{NUMBER}\1', 'g')"
+    raw = rf"regexp_replace({raw}, '({NUMBER}{_NUM})[ \t\n\r]?({UNITS})([^\p{{L}}\p{{N}}{NUMBER}]|$)', '\1 {UNIT}\2\3', 'g')"
+    raw = f"regexp_extract_all({raw}, '{_PIECES.replace(chr(39), chr(39) * 2)}')"
+    tail = _TAIL.replace("'", "''")
+    form = f"regexp_replace(regexp_replace(regexp_replace(w, '{NAME}{tail}+', '{NAME}', 'g'), '{NUMBER}{_NUM}', '{NUMBER}', 'g'), '{UNIT}(?:{UNITS})', '{UNIT}', 'g')"
+    literal = rf"regexp_extract_all(lower(text), '(?:{_NUM}|[\p{{L}}\p{{M}}\p{{N}}])+')"
+    return rf"""
+WITH b AS (SELECT DISTINCT item_id, text, item_id::VARCHAR || '/' || md5(text) AS key FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, text, doc_id::VARCHAR || '/' || md5(text) AS d FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+bs AS (SELECT key, {raw} AS slots FROM b),
+ds AS (SELECT d, {raw} AS slots FROM d),
+bw AS (SELECT key, 0 AS form, slots, list_transform(slots, lambda w: {form}) AS words FROM bs UNION ALL SELECT key, 1, NULL, {literal} FROM b),
+dw AS (SELECT d, 0 AS form, list_transform(slots, lambda w: {form}) AS words FROM ds UNION ALL SELECT d, 1, {literal} FROM d),
+bz AS (SELECT *, least(len(words), {p.window}) AS size FROM bw WHERE len(words) >= CASE form WHEN 0 THEN {p.least_words} ELSE 1 END),
+bp AS (SELECT *, unnest(range(1, len(words) - size + 2)) AS item_pos FROM bz),
+bk AS (SELECT *, len(list_filter(words[item_pos : item_pos + size - 1], lambda x: form = 0 AND regexp_matches(x, '[{NAME}-{UNIT}]'))) AS n_slots FROM bp),
+k AS (SELECT key, form, size, item_pos, n_slots, slots[item_pos : item_pos + size - 1] AS asked, array_to_string(words[item_pos : item_pos + size - 1], ' ') AS w FROM bk WHERE 2 * n_slots <= size),
+n AS (SELECT key, form, count(*) AS n FROM k GROUP BY ALL),
+dp AS (SELECT d, form, words, size, unnest(range(1, len(words) - size + 2)) AS doc_pos FROM dw JOIN (SELECT DISTINCT size, form FROM k) USING (form)),
+f AS (SELECT d, key, form, doc_pos, item_pos, doc_pos - item_pos AS shift, size, n_slots, asked FROM (SELECT d, form, size, doc_pos, array_to_string(words[doc_pos : doc_pos + size - 1], ' ') AS w FROM dp) JOIN k USING (form, size, w)),
+c AS (SELECT d, key, form, count(DISTINCT item_pos) AS n_hits, n FROM f JOIN n USING (key, form) GROUP BY ALL HAVING n_hits >= least({p.enough}, n)),
+h AS (SELECT f.* FROM f SEMI JOIN (SELECT * FROM c WHERE form = 0) USING (d, key) WHERE form = 0),
+z AS (SELECT d, key, shift, item_pos, doc_pos, asked, unnest(range(0, size)) AS k FROM h WHERE n_slots > 0),
+e AS (SELECT DISTINCT z.d, key, shift, item_pos + k AS at, asked[k + 1] AS asked, ds.slots[doc_pos + k] AS given FROM z JOIN ds ON ds.d = z.d WHERE regexp_matches(asked[k + 1], '[{NAME}-{UNIT}]')),
+a AS (SELECT d, key, shift, asked, count(*) AS m, count(DISTINCT given) AS kinds, sum((asked <> given)::INT) AS changed FROM e GROUP BY ALL),
+l AS (SELECT d, key, shift, sum(m) AS slots, sum(CASE WHEN kinds = 1 THEN m ELSE 0 END) AS n_agree, count(*) AS n_asked, sum(changed) AS changed FROM a GROUP BY ALL),
+g AS (SELECT d, key, shift, count(DISTINCT given) AS n_given FROM e GROUP BY ALL),
+o AS (SELECT h.d, h.key, item_pos, coalesce(slots, 0) AS slots, coalesce(changed, 0) AS changed FROM h LEFT JOIN l USING (d, key, shift) LEFT JOIN g USING (d, key, shift)
+  WHERE slots IS NULL OR n_agree >= {p.consistent} * slots AND n_given >= {p.apart} * n_asked),
+t AS (SELECT d, key, 0 AS form, count(DISTINCT item_pos) AS n_hits, n, max((slots, -changed)) AS best FROM o JOIN n USING (key) WHERE form = 0 GROUP BY d, key, n HAVING n_hits >= least({p.enough}, n)),
+u AS (SELECT d, key, form, n_hits, n, best[1] AS n_slots, -best[2] AS n_changed FROM t UNION ALL SELECT d, key, form, n_hits, n, 0, 0 FROM c WHERE form = 1)
+SELECT doc_id, item_id, r[2]::BIGINT AS n_hits, r[3]::BIGINT AS n_windows, r[4]::BIGINT AS n_slots, r[5]::BIGINT AS n_changed
+FROM (SELECT doc_id, item_id, max((-form, n_hits, n, n_slots, n_changed)) AS r FROM u JOIN d USING (d) JOIN b USING (key) GROUP BY doc_id, item_id)
 """

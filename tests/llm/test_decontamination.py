@@ -67,3 +67,37 @@ def test_slot_heavy_and_very_short_items(spark):
     got = {(r.doc_id, r.item_id): r for r in D.leaks(*frames(spark, docs, items)).collect()}
     assert set(got) == {(1, 1), (3, 2), (5, 3)}
     assert all(r.n_hits == r.n_windows == 1 and r.n_changed == 0 for r in got.values())
+
+
+def test_values_that_run_together(spark):
+    """A changed value must stand for one value throughout, and different values must not become one."""
+    item = "Tom has 30 red apples, Ann has 20 green pears and Joe has 10 blue plums, so how many pieces of fruit do Tom and Ann and Joe have in all?"
+    other = item.replace("Tom", "Bob").replace("Ann", "Zoe").replace("Joe", "Kim").replace("30", "9").replace("20", "8").replace("10", "7")
+    one = item.replace("Tom", "Bob").replace("Ann", "Bob").replace("Joe", "Bob").replace("30", "7").replace("20", "7").replace("10", "7")
+    swapped = other.replace("do Bob and Zoe and Kim", "do Max and Eve and Lea")
+    docs = [(1, other), (2, one), (3, swapped), (4, "Well. " + other.upper().lower()), (5, item.upper()), (6, item.lower())]
+    got = {r.doc_id: r for r in D.leaks(*frames(spark, docs, [(1, item)])).collect()}
+    assert set(got) == {1, 5, 6}
+    assert got[1].n_changed > 0 and got[1].n_slots >= got[1].n_changed
+
+
+def test_renamed_opening(spark):
+    items = [(1, "Tom has 3 red apples and 5 green pears today"), (2, "Tom has 3 red apples and 5 green pears today. Then Ann gets 2 kg of ripe plums for lunch.")]
+    docs = [(1, "Bob has 9 red apples and 4 green pears today"), (2, "Bob has 9 red apples and 4 green pears today. Then Eve gets 7 pounds of ripe plums for lunch."), (3, "they have 9 red apples and 4 green pears")]
+    assert {(r.doc_id, r.item_id) for r in D.leaks(*frames(spark, docs, items)).collect()} == {(1, 1), (2, 1), (2, 2)}
+
+
+def test_words_of_both_readings_agree(spark):
+    """Slot values stand at the places of their placeholders, whatever the text."""
+    import random
+
+    rng = random.Random(1)
+    bits = ["Tom", "O'Neil", "3.5", "12:30", "km", " ", " ", " ", "-", "%", "$", "a", "É", "é", "x8", "\u0001", "\u0003", "’", ".", "\n", "5", "Hz", "m½", "ß", "İ", "cents", "\U0001d400"]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    t = D._plain(docs.text)
+    marks = "[" + D.NAME + "-" + D.UNIT + "]"
+    for r in docs.select("text", D.template_words(t).alias("w"), D.slot_words(t).alias("s")).collect():
+        words = [w for w in r.w if w]
+        assert len(words) == len(r.s), r.text
+        assert all((re.findall(marks, a) == re.findall(marks, b)) and (re.search(marks, a) or a == b) for a, b in zip(words, r.s, strict=True)), r.text

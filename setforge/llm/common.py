@@ -37,14 +37,18 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/setforge/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there, and it is computed once."""
+def cut(df: DataFrame, what: str, tidy: bool = False) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there, and it is computed once.
+
+    tidy: have Spark's cleaner drop the shuffle files behind it, now that nothing needs them; worth it where they are large.
+    """
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.setforge_path = path
-    gc.collect()  # so that Spark's cleaner drops the shuffle files of what was written, now that nothing needs them
-    df.sparkSession.sparkContext._jvm.System.gc()
+    if tidy:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 

@@ -13,8 +13,9 @@ document throughout, and the item's different values must not run together (the
 different values as the item). So a re-parameterised question is found with its changed values, and a chance
 meeting of templates isn't. A template window has at least as many plain words as slots, which the document shares.
 
-Built-in expressions only. The benchmark's windows are broadcast up to ``broadcast_windows`` of them; beyond that the join
-is shuffled. Document texts are read once for the windows; slot values are read from the candidates only.
+Built-in expressions only. The benchmark's windows are broadcast up to ``broadcast_windows`` of them, the ids of candidates up
+to ``broadcast_docs``; beyond that the joins are shuffled. Document texts are read once for the windows; slot values are read
+from the candidates only.
 
 Defined results: null texts and texts without words hold nothing and are never found; punctuation between words doesn't
 count; n_hits and n_windows are of the template where it suffices, else of the literal form, and n_slots, n_changed of
@@ -54,6 +55,7 @@ class LeakParams:
     consistent: float = 0.8
     apart: float = 0.6
     broadcast_windows: int = 500_000
+    broadcast_docs: int = 1_000_000
 
 
 def _plain(text: Column) -> Column:
@@ -139,7 +141,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams()) -
     literal = counts.where(F.col("form") == LITERAL).select(*pair, "form", "n_hits", "n", zero.alias("n_slots"), zero.alias("n_changed"))
     template = counts.where(F.col("form") == TEMPLATE)
     hits = found.where(F.col("form") == TEMPLATE).join(template.select(*pair), pair, "left_semi").withColumn("shift", F.col("doc_pos") - F.col("item_pos"))
-    lines = _alignments(rows, items, hits.where("n_slots > 0"))
+    lines = _alignments(rows, items, hits.where("n_slots > 0"), p)
     lines = hits.join(lines, [*pair, "shift"], "left").where(F.coalesce((F.col("n_agree") >= p.consistent * F.col("slots")) & (F.col("n_given") >= p.apart * F.col("n_asked")), F.lit(True)))
     best = F.max(F.struct(F.coalesce("slots", zero).alias("slots"), (-F.coalesce("n_changed", zero)).alias("c")))
     lines = lines.groupBy(*pair).agg(F.countDistinct("item_pos").alias("n_hits"), F.first("n").alias("n"), best.alias("b")).where(enough)
@@ -149,15 +151,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams()) -
     return both.groupBy("doc_id", "item_id").agg(one).select("doc_id", "item_id", "one.n_hits", "one.n_windows", "one.n_slots", "one.n_changed")
 
 
-def _alignments(docs: DataFrame, items: DataFrame, hits: DataFrame) -> DataFrame:
+def _alignments(docs: DataFrame, items: DataFrame, hits: DataFrame, p: LeakParams) -> DataFrame:
     """For each alignment with slots: slots, n_agree (slots whose item value stands for one value), n_asked and n_given
     (different values of the item and of the document), n_changed."""
     line = ["doc_id", "d", "key", "shift"]
     wanted = hits.select(*line, "doc_pos", "item_pos").join(items.where(F.col("form") == TEMPLATE).select("key", "item_pos", "size", F.col("slots").alias("asked")), ["key", "item_pos"])
-    some = wanted.select("doc_id", "d").distinct()
+    some = cut(wanted.select("doc_id", "d").distinct(), "candidates")
+    some = F.broadcast(some) if some.count() <= p.broadcast_docs else some
     words = docs.withColumn("d", F.xxhash64("t")).join(some, ["doc_id", "d"], "left_semi").select("doc_id", "d", slot_words(F.col("t")).alias("words"))
     each = wanted.join(words, ["doc_id", "d"]).select(*line, "item_pos", F.posexplode(F.arrays_zip("asked", F.slice("words", F.col("doc_pos") + 1, F.col("size")).alias("given"))).alias("k", "z"))
     each = each.where("z.asked is not null").select(*line, (F.col("item_pos") + F.col("k")).alias("at"), F.col("z.asked").alias("asked"), F.col("z.given").alias("given")).distinct()
+    each = cut(each, "values")
     asked = each.groupBy(*line, "asked").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("given").alias("kinds"), F.sum((F.col("asked") != F.col("given")).cast("long")).alias("changed"))
     asked = asked.groupBy(*line).agg(F.sum("n").alias("slots"), F.sum(F.when(F.col("kinds") == 1, F.col("n")).otherwise(0)).alias("n_agree"), F.count(F.lit(1)).alias("n_asked"), F.sum("changed").alias("n_changed"))
     given = each.groupBy(*line).agg(F.countDistinct("given").alias("n_given"))

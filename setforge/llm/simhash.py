@@ -55,7 +55,7 @@ class SimHashParams:
     bands: int = 12
     rows: int = 4
     block_rows: int = 2048
-    block_shingles: int = 2_000_000
+    block_shingles: int = 1_000_000
     least: float = 0.0
 
     def __post_init__(self):
@@ -347,40 +347,75 @@ def _pigeonhole(nodes: DataFrame) -> DataFrame:
 
 def _refined(hot: DataFrame) -> DataFrame:
     q = _quarters(F.col("rest"), 8)
-    keys = [F.col("key").bitwiseOR(F.lit((t + 1) << 48)) .cast("string") for t in range(6)]
-    keys = [F.concat_ws("/", k, F.shiftleft(q[a], 8).bitwiseOR(q[b]).cast("string")) for k, (a, b) in zip(keys, _PAIRS, strict=True)]
-    return hot.select("node", "fp", F.explode(F.array(*keys)).alias("block"))
+    subs = [F.lit((t + 1) << 16).cast("long").bitwiseOR(F.shiftleft(q[a], 8)).bitwiseOR(q[b]) for t, (a, b) in enumerate(_PAIRS)]
+    return hot.select("key", "node", "fp", F.explode(F.array(*subs)).alias("sub"))
 
 
-def _tiles(hot: DataFrame, block_rows: int) -> DataFrame:
-    """Each row of a block of n rows goes to one of t = ceil(n / block_rows) tiles; every pair of tiles becomes a block."""
-    hot = hot.withColumn("t", F.ceil(F.col("n") / block_rows)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("t")))
-    return hot.select("node", "fp", "key", "own", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("other")).select(
-        "node", "fp", F.concat_ws("/", F.col("key").cast("string"), F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string")).alias("block")
-    )
+def _tiles(hot: DataFrame) -> DataFrame:
+    """Rows (key, t, node, ...) of blocks that are cut in t tiles: every pair of tiles becomes a block (key, sub)."""
+    hot = hot.withColumn("own", F.pmod(F.xxhash64("node"), F.col("t"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1)))
+    return hot.withColumn("sub", F.shiftleft(F.least("own", "other"), 31).bitwiseOR(F.greatest("own", "other"))).drop("own", "other", "t")
 
 
-def _compare(blocks: DataFrame, radius: int) -> DataFrame:
-    """Stars (a, b) of blocks given as (members: array of (node, fp)), every block of bounded size."""
+def _members() -> list:
+    """Aggregates that tell the members of a block: their number and two hashes, whatever their order."""
+    return [F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node))").alias("s1"), F.expr("bit_xor(xxhash64(node, 1))").alias("s2")]
+
+
+def _once(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of the blocks of two or more nodes, of blocks with the same members only one; n is the number of members."""
+    sizes = rows.groupBy(*by).agg(*_members()).where("n > 1")
+    keep = sizes.groupBy("n", "s1", "s2").agg(F.min(F.struct(*by)).alias("b")).select("n", "b.*")
+    return rows.join(keep, by)
+
+
+def _whole_blocks(batches, n_keys: int):
+    """(rows, offsets) of whole blocks, from rows that come block by block; a block is a run of equal first n_keys columns."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
+        if not rows.num_rows:
+            continue
+        new = np.zeros(rows.num_rows - 1, bool)
+        for k in range(n_keys):
+            key = rows.column(k).to_numpy()
+            new |= key[1:] != key[:-1]
+        starts = np.flatnonzero(new) + 1
+        if len(starts):
+            yield rows.slice(0, starts[-1]), np.concatenate(([0], starts))
+            rows = rows.slice(starts[-1])
+        rest = rows
+    if rest is not None:
+        yield rest, np.array([0, rest.num_rows])
+
+
+def _fixed(column: pa.ChunkedArray) -> np.ndarray:
+    """Bytes of binary values of one length, as rows."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _edges(stars: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in stars], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _compare(rows: DataFrame, radius: int, pairs: int = 200_000) -> DataFrame:
+    """Stars (a, b) of blocks given as rows (key, sub, node, fp), every block of bounded size. Blocks come sorted, so a task holds
+    one batch and one block; small blocks are compared together, up to so many pairs at once."""
 
     def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                lists = whole.column(0).slice(at, 2000)
-                flat = lists.flatten()
-                ids = flat.field(0).to_numpy(zero_copy_only=False)
-                data = np.frombuffer(b"".join(flat.field(1).to_pylist()), np.uint8).reshape(len(ids), -1)
-                sizes = np.asarray(lists.value_lengths())
-                ends = np.cumsum(sizes)
-                out = []
-                for k in np.flatnonzero(sizes > 64).tolist():
-                    out += block_stars(data[ends[k] - sizes[k] : ends[k]], ids[ends[k] - sizes[k] : ends[k]], radius)
-                if len(small := np.flatnonzero(sizes <= 64)):
-                    rows = np.concatenate([np.arange(ends[k] - sizes[k], ends[k]) for k in small.tolist()])
-                    out += small_stars(data[rows], ids[rows], np.concatenate(([0], np.cumsum(sizes[small]))), radius)
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-
-    return blocks.select("members").mapInArrow(run, "a long, b long")
+        for table, offs in _whole_blocks(batches, 2):
+            ids, data, sizes = table.column(2).to_numpy(), _fixed(table.column(3)), np.diff(offs)
+            for k in np.flatnonzero(sizes > 64).tolist():
+                yield _edges(block_stars(data[offs[k] : offs[k + 1]], ids[offs[k] : offs[k + 1]], radius))
+            small = np.flatnonzero((sizes <= 64) & (sizes > 1))
+            load = np.cumsum(sizes[small] * (sizes[small] - 1) // 2) // pairs
+            for part in np.split(small, np.flatnonzero(np.diff(load)) + 1):
+                if len(part):
+                    at = np.concatenate([np.arange(offs[k], offs[k + 1]) for k in part.tolist()])
+                    yield _edges(small_stars(data[at], ids[at], np.concatenate(([0], np.cumsum(sizes[part]))), radius))
+
+    rows = rows.select("key", "sub", "node", "fp").repartition("key", "sub").sortWithinPartitions("key", "sub")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def links(nodes: DataFrame, p: SimHashParams) -> DataFrame:
@@ -388,62 +423,65 @@ def links(nodes: DataFrame, p: SimHashParams) -> DataFrame:
     if p.blocks == "pigeonhole":
         rows = _pigeonhole(nodes.withColumn("word", F.conv(F.hex("fp"), 16, -10).cast("long")))
     else:
-        rows = nodes.select("node", "fp", F.explode("keys").alias("key")).withColumn("rest", F.lit(0))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = cut(rows.join(sizes, "key"), "blocks")  # only keys that two or more nodes hold
-    cold = rows.where(F.col("n") <= p.block_rows).select("node", "fp", F.col("key").cast("string").alias("block"))
+        rows = nodes.select("node", "fp", F.explode("keys").alias("key")).withColumn("rest", F.lit(0).cast("long"))
+    rows = cut(_once(rows, ["key"]), "blocks")
+    cold = rows.where(F.col("n") <= p.block_rows).withColumn("sub", F.lit(0).cast("long"))
     hot = rows.where(F.col("n") > p.block_rows)
-    hot = _refined(hot) if p.blocks == "pigeonhole" else _tiles(hot, p.block_rows)
-    both = cold.unionByName(hot).groupBy("block").agg(F.collect_list(F.struct("node", "fp")).alias("members")).where(F.size("members") > 1)
-    return cut(_compare(both, p.radius).distinct(), "links")
+    if p.blocks == "pigeonhole":
+        hot = _once(_refined(hot), ["key", "sub"])
+    else:
+        hot = _tiles(hot.withColumn("t", F.ceil(F.col("n") / p.block_rows)))
+    columns = ["key", "sub", "node", "fp"]
+    out = cut(_compare(cold.select(*columns).unionByName(hot.select(*columns)), p.radius).distinct(), "links")
+    discard(rows)
+    return out
 
 
-def shingle_sets(docs: DataFrame, p: SimHashParams) -> DataFrame:
-    """node (doc_id), whole, fp, shingles (sorted distinct hashes of 8 bytes) of every document."""
+def _sets_of(texts: DataFrame, p: SimHashParams) -> DataFrame:
+    """node, blocks, fp and shingles (sorted distinct hashes of 8 bytes) of rows (node, text, whole, blocks) whose set is the one
+    that ``whole`` is the digest of."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
                 sets = [np.unique(shingle_hashes(t.as_py(), p.words)) for t in batch.column(1)]
-                cols = [batch.column(0), *(pa.array(x, pa.binary()) for x in ([digest_of(h) for h in sets], prints_of(sets, p.bits), [h.astype("<u8", copy=False).tobytes() for h in sets]))]
-                yield pa.RecordBatch.from_arrays(cols, ["node", "whole", "fp", "shingles"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "node long, whole binary, fp binary, shingles binary")
-
-
-def exact_links(nodes: DataFrame, docs: DataFrame, p: SimHashParams) -> DataFrame:
-    """Stars (a, b) of node ids over all blocks, by links of set similarity ``least``; nodes: node, whole, n_shingles, keys."""
-    rows = nodes.select("node", "whole", "n_shingles", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")).where("n > 1")
-    tiles = F.greatest(F.ceil(F.col("n") / p.block_rows), F.ceil(F.col("s") / p.block_shingles))
-    rows = cut(rows.join(sizes.select("key", tiles.alias("t")), "key"), "blocks")
-    cold = rows.where("t <= 1").select("node", "whole", F.col("key").cast("string").alias("block"))
-    hot = rows.where("t > 1").withColumn("own", F.pmod(F.xxhash64("node", "whole"), F.col("t")))
-    hot = hot.select("node", "whole", "key", "own", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("other"))
-    hot = hot.select("node", "whole", F.concat_ws("/", F.col("key").cast("string"), F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string")).alias("block"))
-    both = cold.unionByName(hot).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("node", "whole"))).alias("members")).where(F.size("members") > 1)
-    blocks = cut(both.select("members").distinct().withColumn("block", F.monotonically_increasing_id()), "members")
-    discard(rows)
-    member = blocks.select("block", F.explode("members").alias("m")).select("block", "m.node", "m.whole")
-    texts = docs.join(member.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = cut(shingle_sets(texts, p), "sets").dropDuplicates(["node", "whole"])
-    full = member.join(sets, ["node", "whole"]).groupBy("block").agg(F.collect_list(F.struct("node", "fp", "shingles")).alias("members"))
+                own = [k for k, h in enumerate(sets) if digest_of(h) == batch.column(2)[k].as_py()]
+                sets, batch = [sets[k] for k in own], batch.take(pa.array(own, pa.int64()))
+                cols = [batch.column(0), batch.column(3), *(pa.array(x, pa.binary()) for x in (prints_of(sets, p.bits), [h.astype("<u8", copy=False).tobytes() for h in sets]))]
+                yield pa.RecordBatch.from_arrays(cols, ["node", "blocks", "fp", "shingles"])
+
+    return texts.select("node", "text", "whole", "blocks").mapInArrow(run, "node long, blocks array<struct<key: long, sub: long>>, fp binary, shingles binary")
+
+
+def exact_links(nodes: DataFrame, docs: DataFrame, p: SimHashParams, bands: range, known: DataFrame | None = None) -> DataFrame:
+    """Stars (a, b) of node ids over the blocks of some bands, by links of set similarity ``least``; nodes: node, whole,
+    n_shingles, keys. known: (node, component) of links found already; blocks inside one component are left out."""
+    keys = F.slice("keys", bands.start + 1, len(bands))
+    rows = nodes.select("node", "whole", "n_shingles", F.explode(keys).alias("key"))
+    rows = rows.join(known, "node", "left").withColumn("c", F.coalesce("component", "node")) if known is not None else rows.withColumn("c", F.col("node"))
+    sizes = rows.groupBy("key").agg(*_members(), F.sum("n_shingles").alias("shingles"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1 and c0 < c1")
+    tiles = F.greatest(F.ceil(F.col("n") / p.block_rows), F.ceil(F.col("shingles") / p.block_shingles))
+    keep = sizes.groupBy("n", "s1", "s2").agg(F.min(F.struct("key", tiles.alias("t"))).alias("b")).select("b.key", "b.t")
+    rows = cut(rows.join(keep, "key").select("key", "t", "node", "whole"), "blocks")
+    both = rows.where("t <= 1").drop("t").withColumn("sub", F.lit(0).cast("long")).unionByName(_tiles(rows.where("t > 1")))
+    both = both.groupBy("node", "whole").agg(F.collect_list(F.struct("key", "sub")).alias("blocks"))  # a few for each band
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(both, "node")
+    sets = _sets_of(texts, p).select(F.explode("blocks").alias("b"), "node", "fp", "shingles").select("b.key", "b.sub", "node", "fp", "shingles")
 
     def run(batches):
-        for batch in batches:
-            out = []
-            for k in range(batch.num_rows):
-                rows = batch.column(0).slice(k, 1).flatten()
-                ids = rows.field(0).to_numpy(zero_copy_only=False)
-                fps = np.frombuffer(b"".join(rows.field(1).to_pylist()), np.uint8).reshape(len(ids), -1)
-                sets = rows.field(2).to_pylist()
-                offs = np.concatenate(([0], np.cumsum([len(x) // 8 for x in sets])))
-                out += exact_stars(fps, ids, np.frombuffer(b"".join(sets), "<u8"), offs, p.radius, p.least)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-
-    return cut(full.select("members").mapInArrow(run, "a long, b long").distinct(), "links")
+        for table, offs in _whole_blocks(batches, 2):
+            for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+                if b - a > 1:
+                    rows = table.slice(a, b - a)
+                    own = rows.column(4).to_pylist()
+                    ends = np.concatenate(([0], np.cumsum([len(x) // 8 for x in own])))
+                    yield _edges(exact_stars(_fixed(rows.column(3)), rows.column(2).to_numpy(), np.frombuffer(b"".join(own), "<u8"), ends, p.radius, p.least))
+
+    found = sets.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(run, "a long, b long")
+    out = cut(found.distinct(), "links", tidy=True)
+    discard(rows)
+    return out
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -474,15 +512,38 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return owner.join(low, "rep").select("node", "component")
 
 
-def near_duplicates(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
-    """doc_id, fp (binary), component_id (smallest doc_id reachable, itself included), for every row of docs."""
+def _linked(nodes: DataFrame, docs: DataFrame, p: SimHashParams) -> DataFrame:
+    """(node, component) by the links of the nodes. Exact links: a quarter of the bands, which nearly all pairs meet in, then the
+    others, where only blocks with several of the components found are compared."""
+    if not p.least:
+        return components(links(nodes, p))
+    some = -(-p.bands // 4)
+    first = exact_links(nodes, docs, p, range(some))
+    known = cut(components(first), "known")
+    second = exact_links(nodes, docs, p, range(some, p.bands), known)
+    discard(known)
+    return components(first.union(second))
+
+
+def near_duplicates(docs: DataFrame, p: SimHashParams = SimHashParams(), hot_rows: int = 500, hot_classes: int = 100_000) -> DataFrame:
+    """doc_id, fp (binary), component_id (smallest doc_id reachable, itself included), for every row of docs.
+
+    Classes of copies of over ``hot_rows`` rows get their component by a broadcast join, so that their rows stay where they
+    are; that number rises with the table, so that there are at most ``hot_classes`` of these. The others are joined by shuffle.
+    """
     prints = cut(fingerprints(docs, p), "prints")
     same = ["whole"] if p.least else ["fp", "keys"]  # documents alike in all of these are one node
-    nodes = prints.groupBy(*same).agg(F.min("doc_id").alias("node"), *([F.first(c).alias(c) for c in ("n_shingles", "keys")] if p.least else []))
+    more = [F.first(c).alias(c) for c in ("n_shingles", "keys")] if p.least else []
+    nodes = cut(prints.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), *more), "nodes")
     linked = nodes.where("node is not null")
-    found = components(exact_links(linked, docs, p) if p.least else links(linked, p))
-    named = nodes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, same).select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = cut(nodes.select(*same, "node", "copies").join(_linked(linked, docs, p), "node", "left").select(*same, "copies", F.coalesce("component", "node").alias("component_id")), "named")
+    least = max(hot_rows, prints.count() // hot_classes)
+    hot, cold = named.where(F.col("copies") > least), named.where(F.col("copies") <= least)
+    rows = prints.select("doc_id", "fp", *[c for c in same if c != "fp"])
+    rows = rows.join(F.broadcast(hot.select(*same, F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))), same, "left")
+    done = rows.where("hot").select("doc_id", "fp", F.col("hot_id").alias("component_id"))
+    rest = rows.where("hot is null").join(cold, same).select("doc_id", "fp", "component_id")
+    return done.unionByName(rest).select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:

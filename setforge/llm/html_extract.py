@@ -1,23 +1,26 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read as a sequence of tags and text. Text between block tags is a block; its path is the list of open block
-elements, with their classes. For each path the text length and the punctuation of its blocks are summed; the ratios to
-the path's number of blocks are fused to a score, smoothed with the scores of the container's other paths and of the
-neighbours in page order, and blocks whose path is under a share of the page's best smoothed score are dropped.
-
-Before that, elements that say what they are (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments: by tag, role, or a word of class or id) give no blocks. Where a page marks its article, or else
-its main part, the ratios choose among these containers, and all blocks of a chosen one stay, however short.
-
-Defined results: null html counts as empty; a page without content gives an empty text; tags that never end, text after
-a cut-off tag and unknown character references are handled as browsers do; repeated rows give a row each; an empty table
-gives an empty result; other columns of the input are ignored.
+elements, with their classes. For each path the text length, punctuation and link text of its blocks are summed. The length and
+the punctuation of a block on average, and the share of text that isn't a link, are fused to a ratio, for the path itself and
+for each of its ancestors with all that they hold; from the root down, a path's ratio is smoothed with that of what encloses
+it. One more signal is fused in: what elements say that they are, by tag, role, or a word of class or id. An article or main part
+counts ``sign`` times, a menu, header, footer, sidebar, notice, advert, form or comments section 1 / ``sign`` squared, but less
+the more of the page's text the element holds, as an element around all of it is no aside. Blocks stay whose path has
+``share`` of the page's best score.
+
+Then short blocks between blocks that stay (items, cells), and a heading before one, stay too if nothing speaks against them. Scripts,
+styles, form controls and hidden elements aren't text. The scanner is linear in the page's length, whatever the markup.
+
+Defined results: null html counts as empty; a page without content gives an empty text; tags that never end (the rest of
+the page belongs to them) and unknown character references are handled as browsers do, but for a quote that never ends, which ends with its tag;
+repeated rows give a row each; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter
 from dataclasses import dataclass
 from html import unescape
 
@@ -28,174 +31,249 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class ExtractParams:
-    """share: of the page's best smoothed score that a path needs; container_share: the same for marked containers."""
+    """share: of the page's best score that a path needs; sign: how much a marked article counts; link: what link text
+    counts against other text."""
 
     share: float = 0.25
-    container_share: float = 0.5
+    sign: float = 400.0
+    link: float = 0.002
 
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-_CUT = re.compile(r"</?[a-zA-Z][^<>]*\Z")
-_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_ATTR = re.compile(r"[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(\"|'|[^\s>\"'][^\s>]*+|(?=>)))?)")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_HEADING = re.compile(r"h[1-6]")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？؟]")
 
 # Fixed by the HTML standard: elements without content, elements of raw text, phrasing elements, and what ends an open p.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+_RAW_END = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ALIKE = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd dt", ("dl",)), "dd": ("dd dt", ("dl",)), "tr": ("tr", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
-#: Elements that are not content, and words of class, id and role that say the same.
-APART = frozenset("head nav footer aside form button select noscript template svg canvas object audio video dialog menu script style textarea title iframe noembed noframes xmp".split())
+#: Elements that aren't text, and those that say that they are no part of the article; words of class, id and role that say the same.
+SKIP = RAW | frozenset("head button select noscript template svg canvas object audio video".split())
+ASIDE = frozenset("nav footer aside menu dialog".split())
 APART_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer "
     "comment comments commentlist disqus reply replies respond share sharing social related recommended widget popup modal overlay newsletter subscribe signup login search pagination pager toolbar masthead skip contentinfo complementary".split()
 )
 
 
-def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)} if "=" in raw or raw.strip() else {}
+PLAIN, ARTICLE, LISTED, APART = range(4)  # what an element says: nothing, the article, apart by a word, apart by its tag
+
 
+class Path:
+    """A path of open elements: sums over its own blocks, and (whole) over all below."""
 
-def _apart(tag: str, at: dict[str, str], inside: bool) -> bool:
-    """The element holds something else than content; inside: an article or main part is open."""
-    if tag in APART or tag == "header" and not inside:
-        return True
-    if not at:
-        return False
-    if "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", ""):
-        return True
-    if tag in ("body", "html", "article", "main"):
-        return False
+    def __init__(self, up: Path | None, tag: str, mark: int):
+        self.up, self.tag, self.mark, self.below = up, tag, mark, {}
+        self.inside = mark == ARTICLE or up is not None and up.inside
+        self.own, self.whole = [0, 0, 0, 0], [0, 0, 0, 0]  # blocks, characters, punctuation marks, characters of links
+        self.smooth = self.says = self.score = 0.0
+
+
+def _attributes(html: str, at: int, last: dict[str, int]) -> tuple[dict[str, str], int]:
+    """The attributes from ``at`` on and the place after the tag, or the end of the page."""
+    found: dict[str, str] = {}
+    while m := _ATTR.match(html, at):
+        at = m.end()
+        if m[1]:
+            return found, at
+        value = m[3] or ""
+        if value in ("'", '"'):
+            if at > last[value]:  # a quote that never ends
+                stop = html.find(">", at)
+                return found, stop + 1 if stop >= 0 else len(html)
+            stop = html.index(value, at)
+            value, at = html[at:stop], stop + 1
+        found.setdefault(m[2].lower(), value)
+    return found, len(html)
+
+
+def _hidden(at: dict[str, str]) -> bool:
+    return "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", "")
+
+
+def _mark(tag: str, at: dict[str, str], inside: bool) -> int:
+    if tag in ASIDE or tag == "header" and not inside:
+        return APART
+    if not inside and (tag in ("article", "main") or at.get("role") == "main"):
+        return ARTICLE
+    if tag == "form":
+        return LISTED
+    if not at or tag in ("body", "html", "article", "main"):
+        return PLAIN
     words = set(_SPLIT.split(f"{at.get('class', '')} {at.get('id', '')} {at.get('role', '')}".lower()))
-    return bool(words & APART_WORDS) or "header" in words and not inside
+    return LISTED if words & APART_WORDS or "header" in words and not inside else PLAIN
+
+
+def blocks(html: str) -> tuple[list[Path], list[tuple[Path, str, int]]]:
+    """All paths, outer ones first, and (path, text, characters of links) of every block in page order."""
+    paths = [Path(None, "", PLAIN)]
+    out: list[tuple[Path, str, int]] = []
+    stack: list[tuple[str, Path, bool, list | None]] = []  # tag, path, skipped, the text around a marked phrase
+    count: Counter[str] = Counter()  # open elements by tag
+    text: list[tuple[str, bool]] = []
+    last = {q: html.rfind(q) for q in ("'", '"')}
 
+    def top():
+        return stack[-1][1] if stack else paths[0]
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], int, str]]:
-    """(path, container, text) of every block that isn't set apart; container numbers an article or main part, 0: none."""
-    if cut := _CUT.search(html, max(0, len(html) - 4096)):
-        html = html[: cut.start()]
-    stack: list[tuple[str, str, bool, int]] = []  # tag, name in the path, set apart, container
-    out, text, numbers, at, marks = [], [], 0, 0, (0, 0)
+    def say(piece: str):
+        if piece and not (stack and stack[-1][2]):
+            text.append((unescape(piece) if "&" in piece else piece, count["a"] > 0))
 
     def flush():
         if text:
-            words = "".join(text).split()
-            text.clear()
+            words = " ".join("".join(t for t, _ in text).split())
             if words:
-                out.append((tuple(s[1] for s in stack if s[1]), stack[-1][3] if stack else 0, " ".join(words)))
+                linked = sum(len(" ".join(t.split())) for t, of_link in text if of_link)
+                out.append((top(), words, min(linked, len(words))))
+            text.clear()
 
     def close(k: int):
-        if any(s[1] for s in stack[k:]):
-            flush()
-        del stack[k:]
+        nonlocal text
+        while len(stack) > k:
+            if stack[-1][0] not in INLINE or stack[-1][3] is not None:
+                flush()
+            tag, _, _, around = stack.pop()
+            count[tag] -= 1
+            if around is not None:
+                text = around
 
-    for m in _TAG.finditer(html):
-        if m.start() < at:
+    def close_last(tags: tuple[str, ...], within) -> None:
+        if any(count[t] for t in tags):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in tags:
+                    return close(k)
+                if within(stack[k][0]):
+                    return None
+
+    at = 0
+    while at < len(html):
+        start = html.find("<", at)
+        if start < 0:
+            say(html[at:])
+            break
+        mark = html[start + 1 : start + 2]
+        if mark in ("!", "?"):
+            say(html[at:start])
+            end, size = (html.find("-->", start + 2), 3) if html.startswith("<!--", start) else (html.find(">", start), 1)
+            at = end + size if end >= 0 else len(html)
             continue
-        if not (stack and stack[-1][2]) and m.start() > at:
-            piece = html[at : m.start()]
-            text.append(unescape(piece) if "&" in piece else piece)
-        at = m.end()
-        if not m[2]:
+        m = _NAME.match(html, start + 1 + (mark == "/"))
+        if not m:
+            say(html[at : start + 1])
+            at = start + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-            else:
-                if tag not in INLINE:
-                    flush()
+        say(html[at:start])
+        tag = m[0].lower()
+        attrs, at = _attributes(html, m.end(), last)
+        if at == len(html) and html[-1] != ">":
+            break
+        if mark == "/":
+            if count[tag]:
+                close_last((tag,), lambda _: False)
+            elif tag not in INLINE:
+                flush()
             continue
+        if tag == "a":
+            close_last(("a",), lambda t: t not in INLINE)
+            if "href" not in attrs and not _hidden(attrs):
+                continue  # the name of a place, often never closed
         if tag in VOID:
             if tag not in INLINE:
                 flush()
             elif tag == "br":
-                text.append(" ")
+                say(" ")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
+            end = _RAW_END[tag].search(html, at)
             stop = html.find(">", end.start()) if end else -1
             at = stop + 1 if stop >= 0 else len(html)
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+            close_last(("p",), lambda t: t not in INLINE)
         if tag in ALIKE:
             same, within = ALIKE[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in within:
-                    break
-                if stack[k][0] in same.split():
-                    close(k)
-                    break
-        up = stack[-1] if stack else ("", "", False, 0)
-        attrs = _attributes(m[3]) if m[3] else {}
-        apart = up[2] or _apart(tag, attrs, up[3] > 0)
-        name, box = "", up[3]
+            close_last(tuple(same.split()), within.__contains__)
+        up = top()
+        skip = bool(stack and stack[-1][2]) or tag in SKIP or _hidden(attrs)
+        says = PLAIN if skip else _mark(tag, attrs, up.inside)
+        path, around = up, None
         if tag not in INLINE:
             flush()
-            name = f"{tag}.{'.'.join(sorted(attrs['class'].lower().split()))}" if attrs.get("class") else tag
-            if not apart and (tag in ("article", "main") or attrs.get("role") == "main") and not box:
-                numbers += 1
-                box = numbers
-        elif apart and not up[2]:
-            text.append(" ")
-        stack.append((tag, name, apart, box))
-    if at < len(html) and not (stack and stack[-1][2]):
-        text.append(unescape(html[at:]))
+        elif says in (LISTED, APART):  # a phrase apart is a block of its own
+            around, text = text, []
+            around.append((" ", False))
+        if not skip and (tag not in INLINE or around is not None):
+            key = (tag, says, " ".join(sorted(attrs.get("class", "").lower().split())))
+            if (path := up.below.get(key)) is None:
+                path = up.below[key] = Path(up, tag, says)
+                paths.append(path)
+        stack.append((tag, path, skip, around))
+        count[tag] += 1
+    close(0)
     flush()
-    return out
-
-
-def path_scores(found: list[tuple[tuple[str, ...], int, str]]) -> dict[tuple[str, ...], float]:
-    """Fused ratio of each path: characters per block, times one plus punctuation marks per block; then smoothed, half
-    with the mean of the paths under the same parent."""
-    chars, marks, n = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, _, text in found:
-        chars[path] += len(text)
-        marks[path] += len(_PUNCT.findall(text))
-        n[path] += 1
-    fused = {p: chars[p] / n[p] * (1 + marks[p] / n[p]) for p in n}
-    family, size = defaultdict(float), defaultdict(int)
-    for p in fused:
-        family[p[:-1]] += fused[p] * n[p]
-        size[p[:-1]] += n[p]
-    return {p: (fused[p] + family[p[:-1]] / size[p[:-1]]) / 2 for p in fused}
+    return paths, out
+
+
+def _ratio(sums: list[int], p: ExtractParams) -> float:
+    """Fused ratio: length times one plus punctuation of a block, at their root, times the share of what isn't a link."""
+    n, chars, marks, links = sums
+    return (chars / n * (1 + marks / n)) ** 0.5 * (1 - (1 - p.link) * links / chars) if n else 0.0
+
+
+def score(paths: list[Path], found: list[tuple[Path, str, int]], p: ExtractParams) -> None:
+    """Sums, smoothed ratios and scores of all paths that hold text."""
+    for path, text, links in found:
+        for k, x in enumerate((1, len(text), len(_PUNCT.findall(text)), links)):
+            path.own[k] += x
+            path.whole[k] += x
+    spoken = 0  # characters that are neither of links nor in elements apart by their tag
+    for path in reversed(paths):
+        if path.up is None:
+            spoken = path.whole[1] - path.whole[3]
+        elif path.mark != APART:
+            for k in range(4):
+                path.up.whole[k] += path.whole[k]
+    for path in paths:
+        if not path.whole[0]:
+            continue
+        ratio = _ratio(path.whole, p)
+        path.smooth = (path.up.smooth * ratio) ** 0.5 if path.up and path.up.smooth else ratio
+        path.says = path.up.says if path.up else 0.0  # as a power of sign
+        if path.mark == ARTICLE:
+            path.says += 1 if path.says > -2 else 0
+        elif path.mark == LISTED:
+            path.says -= 2 * (1 - min(1.0, (path.whole[1] - path.whole[3]) / max(1, spoken)) ** 4)
+        elif path.mark == APART:
+            path.says -= 2
+        if path.own[0]:
+            around = path.up.smooth if path.up and path.up.smooth else ratio
+            path.score = (around * _ratio(path.own, p)) ** 0.5
 
 
 def main_text(html: str | None, p: ExtractParams = ExtractParams()) -> str:
-    found = blocks(html or "")
+    paths, found = blocks(html or "")
     if not found:
         return ""
-    scores = path_scores(found)
-    boxes = defaultdict(float)
-    for path, box, text in found:
-        if box:
-            boxes[box] += scores[path] * len(text)
-    if boxes:
-        least = p.container_share * max(boxes.values())
-        return "\n".join(text for _, box, text in found if box and boxes[box] >= least)
-    line = [scores[path] for path, _, _ in found]
-    smooth = [(line[max(0, k - 1)] + 2 * line[k] + line[min(len(line) - 1, k + 1)]) / 4 for k in range(len(line))]
-    best = max(smooth)
-    means = defaultdict(list)
-    for (path, _, _), s in zip(found, smooth, strict=True):
-        means[path].append(s)
-    good = {path for path, s in means.items() if sum(s) / len(s) >= p.share * best}
-    keep = [path in good for path, _, _ in found]
+    score(paths, found, p)
+    least = p.share * max(path.score * p.sign ** (path.says / 2) for path, _, _ in found)
+    keep = [path.score * p.sign**path.says >= least for path, _, _ in found]
+    says = max(path.says for (path, _, _), k in zip(found, keep, strict=True) if k) if any(keep) else 0.0
+    could = [k or path.says >= min(says, 0.0) and 2 * links < len(text) for (path, text, links), k in zip(found, keep, strict=True)]
+    stays = list(keep)
     for k in range(len(found) - 2, -1, -1):  # a heading goes with what follows it
-        if re.match(r"h[1-6](\.|$)", found[k][0][-1] if found[k][0] else "") and keep[k + 1]:
-            keep[k] = True
-    return "\n".join(text for (_, _, text), k in zip(found, keep, strict=True) if k)
+        stays[k] = stays[k] or could[k] and stays[k + 1] and _HEADING.fullmatch(found[k][0].tag) is not None
+    if any(keep):  # what lies between two blocks of one mind stays, unless something speaks against it
+        first, final = keep.index(True), len(keep) - 1 - keep[::-1].index(True)
+        for k in range(first, final):
+            stays[k] = stays[k] or could[k] and found[k][0].says >= min(found[first][0].says, found[final][0].says)
+    return "\n".join(text for (_, text, _), k in zip(found, stays, strict=True) if k)
 
 
 def extract(pages: DataFrame, p: ExtractParams = ExtractParams()) -> DataFrame:

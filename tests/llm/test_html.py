@@ -1,3 +1,8 @@
+import html
+import re
+import time
+
+import pyarrow.parquet as pq
 import pytest
 
 from setforge.llm import html_extract as H
@@ -30,6 +35,64 @@ def test_ratios_choose_paths():
     assert text.split("\n")[0] == "Title" and text.endswith("Short.") and "Home" not in text and "x" not in text.split("\n")
 
 
+def article(page):
+    """By definition, for pages with one plain article: its text between block tags."""
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    parts = re.split(r"</?(?:p|h[1-6])>", re.sub(r"<!--.*?-->", "", inner, flags=re.S))
+    parts = (" ".join(html.unescape(re.sub(r"<[^<>]*>", lambda m: " " if m[0] == "<br>" else "", x)).split()) for x in parts)
+    return "\n".join(x for x in parts if x)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_all_pages(sf):
+    for page in pq.read_table(f"/root/testdata/{sf}/pages.parquet")["html"].to_pylist():
+        assert H.main_text(page) == article(page)
+
+
+def test_ratios_without_marks():
+    """The same pages with nothing that says what it is: menus go by their ratios, articles stay."""
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
+        menu = re.findall(r"<li>(.*?)</li>", page)
+        plain = re.sub(r"<(/?)(?:nav|article|footer|div)\b[^>]*>", r"<\1div>", page)
+        assert "article" not in plain[: plain.index("<body")] and "class" not in plain
+        got = H.main_text(plain).split("\n")
+        assert not {html.unescape(re.sub("<[^>]*>", "", x)) for x in menu} & set(got)
+        assert set(article(page).split("\n")) <= set(got)
+
+
+P = "<p>A sentence of some length, with marks; it says a thing or two, and ends.</p>"
+WRAPPED = {
+    f"<form action=x><div><a href=/>Home</a> <a href=/b>B</a></div>{P * 4}</form>": 4,
+    f"<div class=post-with-comments>{P * 3}</div>": 3,
+    f"<article>{P}</article><div>{P * 20}</div>": 1,
+    f"<div>{P * 6}<ul><li>one item of a list here</li><li>and one more item of it</li></ul></div>": 8,
+    f"<article>{P * 3}<ul><li><a href=/1>A link</a><li><a href=/2>Other link</a></ul></article>": 3,
+    f"<article>{P * 3}<table><tr><td>1<td>2</table>{P}</article>": 6,
+    f"<aside><article>{P}</article></aside><main>{P * 2}</main>": 2,
+    f"<div>{P * 3}</div><div class=comments>{P * 5}</div>": 3,
+    f"<a name=top>{P * 3}": 3,
+    f'<p class="x"">{P * 3}': 3,
+    f'<article>{P * 2}<p title="never closed>x</p></article>': 3,
+    f"<nav><ul><li><a href=/>x</a></ul></nav><footer>{P}</footer>": 0,
+}
+
+
+@pytest.mark.parametrize("page", WRAPPED)
+def test_wrappers_and_signs(page):
+    assert len([x for x in H.main_text(page).split("\n") if x]) == WRAPPED[page]
+
+
+def test_marked_phrases():
+    assert H.main_text(f"<article>{P}<p>Some <span class=share>share</span> words, and more.</p></article>").split("\n")[1] == "Some words, and more."
+
+
+@pytest.mark.parametrize("page", ["<a" * 100_000, "<a b='" * 50_000, '<a b="c' * 50_001, "<p>" + "<b>" * 50_000 + "<p>" * 50_000, "<div>" * 50_000 + "</x>" * 50_000, "<ul><li>" * 30_000, "<!--" * 50_000, "<script>" * 50_000, "< " * 100_000, "<td>" * 50_000, "<a b " * 50_000 + "=" * 50_000, "<div><p>x" * 20_000])
+def test_hostile_markup_takes_linear_time(page):
+    begin = time.monotonic()
+    H.main_text(page)
+    assert time.monotonic() - begin < 8
+
+
 def test_query_and_odd_rows(spark):
     sf = "/root/testdata/sf0.001"
     got = H.op4_html_extract(spark, sf).collect()

@@ -8,6 +8,11 @@ n-grams, how far its rank is from the rank in the profile, or ``top`` if it is n
 Profiles are learned from text and lang alone, of a bounded sample: about ``per_lang`` documents of each language,
 chosen by a hash of doc_id. Counts are summed on the executors; languages x ``top`` ranks come to the driver.
 
+``accepted`` rejects texts that are unlike every learned language: those with a score under ``margin`` times the score that
+all but a thousandth of the learning rows of the same size class reach (the class is the bit length of the number of
+distinct n-grams). Classes of under ``few`` learning rows take half the least of the other classes, or ``floor`` if there is
+none. A short text of a few strange letters can pass.
+
 Defined results: null text and text without a letter give ``und`` with score 0; repeated rows are scored each; an empty
 table, or one without labelled rows, gives ``und`` for all; ties go to the alphabetically first language; other columns
 of the input are ignored.
@@ -36,6 +41,9 @@ class LangParams:
     max_langs: int = 1000
     folds: int = 4
     held_out: int = 2
+    margin: float = 0.8
+    few: int = 100
+    floor: float = 0.05
 
 
 def _letter_codes() -> np.ndarray:
@@ -104,26 +112,35 @@ class Profiles:
             ranks[k, lists[lang]] = np.arange(len(lists[lang]))
         return Profiles(langs, ranks, top)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def judge(self, text: str | None) -> tuple[str, float, int]:
+        """Language, score and size class of a text."""
         c = codes(text or "")
         if not len(c) or not self.langs:
-            return UNKNOWN, 0.0
-        mine = ranked(*grams(c), self.top)
+            return UNKNOWN, 0.0, 0
+        found, counts = grams(c)
+        mine = ranked(found, counts, self.top)
         distance = np.abs(self.ranks[:, mine] - np.arange(len(mine), dtype=np.int16)).sum(axis=1, dtype=np.int64)
         best = int(distance.argmin())
-        return self.langs[best], float(1 - distance[best] / (self.top * len(mine)))
+        return self.langs[best], float(1 - distance[best] / (self.top * len(mine))), len(found).bit_length()
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
 
-def train(labelled: DataFrame, p: LangParams = LangParams()) -> dict[str, list[int]]:
-    """Ranked n-gram codes of every language of (doc_id, text, lang) rows."""
+def sample(labelled: DataFrame, p: LangParams = LangParams()) -> DataFrame:
+    """lang, text of about ``per_lang`` rows of each language."""
     rows = labelled.where("lang is not null and text is not null")
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.max_langs + 1).collect()
     if len(sizes) > p.max_langs:
         raise ValueError(f"more than {p.max_langs} languages")
     if not sizes:
-        return {}
+        return rows.limit(0).select("lang", "text")
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, p.per_lang / r["count"]))])
-    rows = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)) < share[F.col("lang")])
+    return rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)) < share[F.col("lang")]).select("lang", "text")
+
+
+def train(rows: DataFrame, p: LangParams = LangParams()) -> dict[str, list[int]]:
+    """Ranked n-gram codes of every language of sampled rows (lang, text)."""
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
@@ -158,14 +175,37 @@ def predict(docs: DataFrame, lists: dict[str, list[int]], p: LangParams = LangPa
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def learning_rows(docs: DataFrame, p: LangParams = LangParams()) -> DataFrame:
+    """The sample of the rows of docs that are not held out."""
+    return sample(plain_columns(docs, "doc_id", "text", "lang").where(crc_bucket("doc_id", p.folds) != p.held_out), p)
+
+
 def learn(docs: DataFrame, p: LangParams = LangParams()) -> dict[str, list[int]]:
     """Profiles from the rows of docs that are not held out."""
-    return train(plain_columns(docs, "doc_id", "text", "lang").where(crc_bucket("doc_id", p.folds) != p.held_out), p)
+    return train(learning_rows(docs, p), p)
+
+
+def least_scores(rows: DataFrame, lists: dict[str, list[int]], p: LangParams = LangParams()) -> dict[int, float]:
+    """The least score to accept by size class, from sampled rows (lang, text); a few classes come to the driver."""
+
+    def run(batches):
+        model = Profiles.of(lists, p.top)
+        for batch in batches:
+            found = [model.judge(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[2] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.float64())], ["size", "score"])
+
+    scores = rows.mapInArrow(run, "size int, score double").where("size > 0")
+    classes = scores.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("score", 0.001, 10_000).alias("low"))
+    known = {r["size"]: max(p.floor, p.margin * r["low"]) for r in classes.where(F.col("n") >= p.few).collect()}
+    other = max(p.floor, min(known.values()) / 2) if known else p.floor
+    return {size: known.get(size, other) for size in range(SPACE.bit_length() + 1)}
 
 
-def accepted(docs: DataFrame, p: LangParams = LangParams(), least: float = 0.05, langs: tuple[str, ...] = ()) -> DataFrame:
-    """The rows of docs whose language is known: a letter at least, a score over ``least`` and, if given, one of langs."""
-    lists = learn(docs, p)
+def accepted(docs: DataFrame, p: LangParams = LangParams(), langs: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of docs whose language is known: a letter at least, a score as learned texts have and, if given, one of langs."""
+    rows = learning_rows(docs, p)
+    lists = train(rows, p)
+    least = least_scores(rows, lists, p)
     names = docs.columns
 
     def run(batches):
@@ -173,8 +213,8 @@ def accepted(docs: DataFrame, p: LangParams = LangParams(), least: float = 0.05,
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                found = [model.predict(t.as_py()) for t in batch.column(names.index("text"))]
-                keep = [lang != UNKNOWN and score > least and (not langs or lang in langs) for lang, score in found]
+                found = [model.judge(t.as_py()) for t in batch.column(names.index("text"))]
+                keep = [lang != UNKNOWN and score >= least[size] and (not langs or lang in langs) for lang, score, size in found]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from setforge.llm import langid as L
@@ -24,6 +26,22 @@ def test_distance_by_definition():
     assert model.predict(text)[0] == best
 
 
+def test_ties_go_to_the_first_language():
+    lists = {"bb": [1, 2, 3], "aa": [1, 2, 3], "ab": [3, 2, 1]}
+    assert L.Profiles.of(lists, 5).predict("a")[0] == "aa"
+
+
+def test_texts_unlike_every_language_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    noise = "".join(random.Random(1).choices("bcdfghjklmnpqrstvwxz ", k=600))
+    strange = ["Привет мир, как дела сегодня " * 20, noise, "こんにちは世界" * 60]
+    more = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(strange)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in L.accepted(docs.unionByName(more)).select("doc_id").collect()}
+    lettered = docs.where(F.col("text").rlike(r"\p{L}"))
+    assert not any(k < 0 for k in kept)
+    assert lettered.where(~F.col("doc_id").isin(sorted(kept))).count() == 0
+
+
 def test_codes():
     assert L.codes("").size == L.codes("12 %\n").size == 0
     assert L.codes("a-B  c!").tolist() == [0, 1, 0, 2, 0, 3, 0]

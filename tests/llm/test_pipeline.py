@@ -81,7 +81,7 @@ def test_stages(spark):
 
 def test_language_stage_uses_profiles(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert langid.accepted(docs, least=1.1).count() == 0 and langid.accepted(docs, langs=("de",)).where("lang <> 'de'").count() < 3
+    assert langid.accepted(docs, langid.LangParams(floor=1.1)).count() == 0 and langid.accepted(docs, langs=("de",)).where("lang <> 'de'").count() < 3
 
 
 def test_odd_rows(spark, odd, clash):

@@ -14,7 +14,6 @@ the order of their texts' hash; a null doc_id comes first; an empty table gives
 
 from __future__ import annotations
 
-import json
 import re
 import struct
 import zlib
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from setforge.llm.common import shared_path
-from setforge.llm.tokens import load, parts
+from setforge.llm.tokens import is_plain, load, parts
 
 BLOCK = 256
 _HEAD = struct.Struct("<4sIIII")
@@ -142,12 +141,10 @@ class Encoder:
         self.tok = load(p.tokenizer)
         self.memo = Pieces(self.tok.model, p.memo)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        kind = json.loads(self.tok.to_str())
-        pre = kind["pre_tokenizer"] or {}
-        self.plain = kind["model"]["type"] == "BPE" and kind["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.plain = is_plain(self.tok)
 
     def whole(self, text: str) -> bytes:
-        got = self.tok.encode_batch_fast(parts(text, 1 << 16), add_special_tokens=False)
+        got = self.tok.encode_batch_fast(parts(text, 1 << 16) if self.plain else [text], add_special_tokens=False)
         return b"".join(np.array(x.ids, "<u4").tobytes() for x in got)
 
     def __call__(self, text: str) -> bytes:

@@ -3,7 +3,7 @@
 Batches handed to the tokenizer are balanced by bytes (``batch_bytes``), not by rows. A text longer than ``split_chars``
 is encoded in parts cut at safe boundaries: between a letter and a single space that a letter follows. The byte-level
 pre-tokenizer ends a token at every such place, so the counts of the parts add up to the count of the whole; a text
-without such a place stays whole.
+without such a place stays whole, and so does every text where the tokenizer is not a plain byte-level one.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows are counted each; an empty table gives an
 empty result; other columns of the input are ignored.
@@ -11,6 +11,7 @@ empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from dataclasses import dataclass
@@ -59,6 +60,23 @@ def load(name: str):
     return tok
 
 
+def is_plain(tok) -> bool:
+    """Whether a tokenizer (a library object) is a plain byte-level one, for which ``parts`` are safe."""
+    if not hasattr(tok, "to_str"):
+        return False
+    if any(_SAFE.search(t.content) for t in tok.get_added_tokens_decoder().values()):
+        return False
+    kind = json.loads(tok.to_str())
+    pre = kind["pre_tokenizer"] or {}
+    return kind["model"]["type"] == "BPE" and kind["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+
+
+@lru_cache(maxsize=4)
+def cuts(name: str) -> bool:
+    """Whether long texts may be cut for this tokenizer file."""
+    return is_plain(load(name))
+
+
 def parts(text: str, split_chars: int) -> list[str]:
     """The text cut at the first safe boundary after every ``split_chars`` characters."""
     out, at = [], 0
@@ -88,13 +106,13 @@ def count_batch(texts: list[str], p: CountParams, count) -> list[int]:
             totals[k] += n
         owners, batch, size = [], [], 0
 
-    whole = p.tokenizer.endswith(".model")
+    whole = not cuts(p.tokenizer)
     for k, text in enumerate(texts):
         for part in [text] if whole else parts(text, p.split_chars):
             if part:
                 owners.append(k)
                 batch.append(part)
-                size += len(part)
+                size += len(part.encode())
                 if size >= p.batch_bytes:
                     flush()
     if batch:

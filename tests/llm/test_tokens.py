@@ -23,6 +23,16 @@ def test_counts():
     assert "".join(K.parts(TEXTS[-2], 1000)) == TEXTS[-2] and len(K.parts(TEXTS[-2], 1000)) > 100
 
 
+def test_only_plain_tokenizers_cut():
+    text = "several words of a long text " * 4000
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        p = K.CountParams(tokenizer=name, split_chars=1000, batch_bytes=5000)
+        want = len(K.load(name).encode(text, add_special_tokens=False).ids)
+        assert K.count_batch([text, "é" * 3000, text], p, K.counter(p))[::2] == [want, want]
+        assert len(T.Encoder(T.FileParams(tokenizer=name)).whole(text)) == 4 * want
+    assert K.cuts("byte_bpe_50k.json") and not K.cuts("word_bpe_49k.json") and not K.cuts("piece_bpe_32k.model")
+
+
 def test_sentence_pieces():
     p = K.CountParams(tokenizer="piece_bpe_32k.model")
     assert K.count_batch(["a b c", ""], p, K.counter(p))[0] == len(K.load(p.tokenizer).encode("a b c"))

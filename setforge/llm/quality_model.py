@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, p: FtrlParams = FtrlParams()) -> t
     if not total:
         return [], [], 0.0
     share = min(1.0, p.max_rows / total)
-    some = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    some = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = rows.join(F.broadcast(some), "doc_id")  # about max_rows rows of two numbers
 

@@ -49,8 +49,10 @@ def uniform_draw(item: Column, *labels: Column | str | int, family: str = "md5")
     return (draw(item, *labels, family=family).cast("double") + 1.0) / TWO52
 
 
-def item_hash(item: Column) -> Column:
-    """60 bits (bigint, not negative) of an item's text, alike in any SQL engine."""
+def item_hash(item: Column, family: str = "md5") -> Column:
+    """60 bits (bigint, not negative) of an item's text, alike in any SQL engine; of the item as it is with xxhash64."""
+    if family == "xxhash64":
+        return F.shiftrightunsigned(F.xxhash64(item), 4)
     return F.conv(F.substring(F.md5(item.cast("string")), 1, 15), 16, 10).cast("bigint")
 
 

@@ -40,6 +40,7 @@ def superminhash2(sets: DataFrame, m: int, family: str = "md5") -> DataFrame:
     """(set_id, slot, value bigint): the hash of the slot's item. Round and uniform share a bigint of 11 and 52 bits."""
     if m > 2048:
         raise ValueError("m <= 2048")
-    rows = sets.select("set_id", item_hash(F.col("item")).alias("hash"), "item", F.posexplode(permutation(F.col("item"), m, family)).alias("j", "slot"))
+    rows = sets.select("set_id", item_hash(F.col("item"), family).alias("hash"), "item")  # once an item, below the explode
+    rows = rows.select("set_id", "hash", "item", F.posexplode(permutation(F.col("item"), m, family)).alias("j", "slot"))
     order = F.shiftleft(F.col("j").cast("bigint"), 52).bitwiseOR(draw(F.col("item"), F.col("j"), "r", family=family))
     return rows.select("set_id", "slot", "hash", order.alias("x")).groupBy("set_id", "slot").agg(F.min_by("hash", "x").alias("value"))

@@ -22,7 +22,7 @@ def bins(sets: DataFrame, m: int, family: str = "md5") -> DataFrame:
     if m < 1:
         raise ValueError("m >= 1")
     item = F.col("item")
-    rows = sets.select("set_id", (draw(item, "b", family=family) % m).cast("int").alias("slot"), uniform_draw(item, "u", family=family).alias("r"), item_hash(item).alias("hash"))
+    rows = sets.select("set_id", (draw(item, "b", family=family) % m).cast("int").alias("slot"), uniform_draw(item, "u", family=family).alias("r"), item_hash(item, family).alias("hash"))
     return rows.groupBy("set_id", "slot").agg(F.min("r").alias("r"), F.min_by("hash", "r").alias("value"))
 
 

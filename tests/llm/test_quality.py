@@ -1,4 +1,8 @@
+import math
+import random
+
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +65,47 @@ def test_odd_rows(spark, odd, clash):
         scores = M.score(docs, M.train(docs, labels)).collect()
         assert len(scores) == 11 and {r.doc_id: r.score for r in scores}[0] == {r.doc_id: r.score for r in scores}[1]
     assert Q.ledger(odd.limit(0)).count() == M.score(odd.limit(0), M.train(odd.limit(0), labels)).count() == 0
+
+
+def plain_ftrl(rows, p):
+    """The definition: a weight minimises its gradients' sum, the pull to all its earlier values and the penalties."""
+    past, w, bias_past, bias = {}, {}, [], 0.0
+
+    def least(history, beta, l1, l2):
+        def slope(v):
+            pull = sum(s * (v - at) for _, s, at in history)
+            return sum(g for g, _, _ in history) + pull + l1 * ((v > 0) - (v < 0)) + (beta / p.alpha + l2) * v
+
+        low, high = -1e3, 1e3
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if slope(mid) < 0 else (low, mid)
+        return (low + high) / 2
+
+    def add(history, g, at):
+        before = sum(x * x for x, _, _ in history)
+        history.append((g, (math.sqrt(before + g * g) - math.sqrt(before)) / p.alpha, at))
+
+    for _ in range(p.epochs):
+        for slots, values, label in rows:
+            x = sum(w.get(k, 0.0) * v for k, v in zip(slots, values, strict=True)) + bias
+            g = 1 / (1 + math.exp(-x)) - label
+            for k, v in zip(slots, values, strict=True):
+                add(past.setdefault(k, []), g * v, w.get(k, 0.0))
+                w[k] = least(past[k], p.beta, p.l1, p.l2)
+            add(bias_past, g, bias)
+            bias = least(bias_past, p.beta, 0.0, 0.0)
+    return w, bias
+
+
+def test_ftrl_by_definition():
+    rnd, p = random.Random(5), M.FtrlParams(bits=5, epochs=2, l1=0.3)
+    rows = []
+    for _ in range(30):
+        slots = sorted(rnd.sample(range(32), rnd.randint(0, 6)))
+        rows.append((np.array(slots, np.int64), np.array([rnd.uniform(0.1, 4) for _ in slots]), int(5 in slots or rnd.random() < 0.3)))
+    got, bias = M.fit(rows, p)
+    want, want_bias = plain_ftrl([(a.tolist(), v.tolist(), y) for a, v, y in rows], p)
+    assert bias == pytest.approx(want_bias, abs=1e-6)
+    assert got.tolist() == pytest.approx([want.get(k, 0.0) for k in range(32)], abs=1e-6)
+    assert (got != 0).sum() > 5 and (got == 0).any()

@@ -33,14 +33,22 @@ def sample(sets: DataFrame, m: int, family: str = "md5") -> DataFrame:
 def item_points(items: DataFrame, m: int, points: int, family: str = "md5") -> DataFrame:
     """(item, slot, c) for distinct items: the first arrival in each slot of the item's unit-rate point process.
 
-    Point i arrives at i - 1 + E, E exponential of rate ln(m/(m-1)) on [0, 1), in a slot drawn with replacement.
+    Point i arrives at i - 1 + E, E exponential of rate ln(m/(m-1)) on [0, 1), in a slot drawn with replacement. Items that
+    the first ``points`` leave without some slot go on, up to 64 * m points (a slot is missed with probability e**-64).
     """
     if m < 2:
         raise ValueError("m >= 2")
     rows = items.select("item").distinct().select("item", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
-    e = truncated_exponential(uniform_draw(F.col("item"), F.col("i"), "e", family=family), math.log(m / (m - 1)))
-    slot = (draw(F.col("item"), F.col("i"), "s", family=family) % m).cast("int")
-    return rows.select("item", slot.alias("slot"), (F.col("i") + e).alias("c")).groupBy("item", "slot").agg(F.min("c").alias("c"))
+    slot = lambda i: (draw(F.col("item"), i, "s", family=family) % m).cast("int")
+    arrival = lambda i: i + truncated_exponential(uniform_draw(F.col("item"), i, "e", family=family), math.log(m / (m - 1)))
+    first = rows.select("item", slot(F.col("i")).alias("slot"), arrival(F.col("i")).alias("c")).groupBy("item", "slot").agg(F.min("c").alias("c"))
+    whole = first.groupBy("item").agg(F.collect_list(F.struct("slot", "c")).alias("hits"))  # m at most
+    none = F.filter("hits", lambda x: F.lit(False))
+    later = F.transform(F.sequence(F.lit(points), F.lit(max(64 * m, 2 * points) - 1)), lambda i: F.struct(slot(i).alias("slot"), arrival(i).alias("c")))
+    later = F.filter(later, lambda x: ~F.array_contains(F.transform("hits", lambda y: y["slot"]), x["slot"]))
+    more = F.when(F.size("hits") < m, later).otherwise(none)
+    every = whole.select("item", F.explode(F.concat("hits", more)).alias("p")).select("item", "p.slot", "p.c")
+    return every.groupBy("item", "slot").agg(F.min("c").alias("c"))  # already together by item
 
 
 def sample_points(sets: DataFrame, m: int, points: int | None = None, family: str = "md5") -> DataFrame:

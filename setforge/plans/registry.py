@@ -112,7 +112,7 @@ def _sql_points(rows: str) -> str:
     e, rate = H.sql_uniform("concat_ws('#', item, i, 'e')"), math.log(M / (M - 1))
     return f"""WITH s AS MATERIALIZED {rows}, c AS (SELECT item, slot, min(i + e) AS c FROM (
       SELECT item, ({H.sql_bits52("concat_ws('#', item, i, 's')")} % {M})::INT AS slot, i, -ln(1.0 - (1.0 - {e}) * {1.0 - math.exp(-rate)!r}::DOUBLE) / {rate!r}::DOUBLE AS e
-      FROM (SELECT DISTINCT item FROM s), (SELECT unnest(range({POINTS})) AS i)) GROUP BY item, slot)
+      FROM (SELECT DISTINCT item FROM s), (SELECT unnest(range({64 * M})) AS i)) GROUP BY item, slot)
       SELECT set_id, slot, min(x).item AS item FROM (SELECT set_id, slot, {{'h': c / weight, 'item': s.item}} AS x FROM s JOIN c ON c.item = s.item) GROUP BY set_id, slot"""
 
 

@@ -211,3 +211,10 @@ def test_store(spark, tmp_path):
     assert store.compared(a, a, pair(spark)).first()["jaccard"] == want
     with pytest.raises(Exception, match="different ways"):
         store.compared(a, b, pair(spark)).collect()
+
+
+def test_points_reach_every_slot(spark):
+    items = spark.range(300).select(F.col("id").alias("set_id"), F.concat(F.lit("i"), "id").alias("item"), F.lit(1.0).alias("weight"))
+    short = weighted.sample_points(items, 16, 20, "xxhash64")
+    assert short.count() == 300 * 16 and short.select("set_id", "slot").distinct().count() == 300 * 16
+    assert short.exceptAll(weighted.sample_points(items, 16, 600, "xxhash64")).count() == 0

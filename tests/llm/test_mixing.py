@@ -1,5 +1,8 @@
+import random
+from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from setforge.llm import mixing as M
@@ -99,3 +102,53 @@ def test_more_sources_than_stand_alone(spark):
     assert slots == set(range(len(slots)))
     taken = {(r.mix_slot, r.mix_block) for r in got}
     assert len(taken) == len(slots)
+
+
+def ideal(weights, blocks):
+    """Moments when the ideal division uses sources up, and the blocks it has then given for a weight of 1."""
+    moments, given = [0.0], [0.0]
+    left = sorted((b / w, w) for w, b in zip(weights, blocks, strict=True))
+    rate = sum(weights)
+    for v, w in left:
+        moments.append(moments[-1] + (v - given[-1]) * rate)
+        given.append(v)
+        rate -= w
+    return moments, given
+
+
+def assert_follows_ideal(weights, blocks, slots):
+    """At every slot each source's number of blocks is less than one away from the ideal division."""
+    assert sorted(t for x in slots for t in x) == list(range(sum(blocks)))
+    moments, given = ideal(weights, blocks)
+    for w, b, own in zip(weights, blocks, slots, strict=True):
+        at = np.array(own)
+        assert len(own) == b and (np.diff(at) > 0).all()
+        part = lambda t: np.minimum(w * np.interp(t, moments, given), b)  # noqa: B023, E731
+        k = np.arange(b)
+        assert (part(at) < k + 1 + 1e-6).all() and (part(at + 1) > k - 1e-6).all()
+
+
+def test_kinds_follow_the_ideal_division():
+    r = random.Random(3)
+    for _ in range(200):
+        n = r.randint(1, 8)
+        w, b, m = [r.randint(1, r.choice([3, 50, 1000])) for _ in range(n)], [r.randint(1, r.choice([2, 60])) for _ in range(n)], [r.choice([1, 1, 2, 9]) for _ in range(n)]
+        slots = {(c, i): [] for c in range(n) for i in range(m[c])}
+        for c, k, i, t, length in M.turns(w, b, m):
+            for x in range(length):
+                assert len(slots[c, i + x]) == k
+                slots[c, i + x].append(t + x)
+        assert_follows_ideal([w[c] for c, _ in slots], [b[c] for c, _ in slots], list(slots.values()))
+
+
+def test_every_source_of_thousands_follows_its_own_weight(spark):
+    """One large source and over 2,400 of a few rows: each is held to the ideal division by itself, none in a pool."""
+    docs = spark.range(9000).selectExpr("id as doc_id", "if(id < 1000, 'big', concat('s', cast(pmod(xxhash64(id), 2600) as string))) as source")
+    got = M.mix(docs, M.MixParams(block_rows=4, bucket_rows=64)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(9000)) and len({r.mix_position for r in got}) == 9000
+    sizes = Counter(r.source for r in got)
+    assert len(sizes) > M.MixParams().max_sources and sizes["big"] == 1000
+    place = {(r.source, r.mix_block): r.mix_slot for r in got}
+    assert len(place) == len({(r.source, r.mix_block, r.mix_slot) for r in got})
+    names, blocks = list(sizes), [-(-n // 4) for n in sizes.values()]
+    assert_follows_ideal([n**0.5 for n in sizes.values()], blocks, [[place[s, k] for k in range(b)] for s, b in zip(names, blocks, strict=True)])

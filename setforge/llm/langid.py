@@ -5,12 +5,13 @@ else is a word boundary, and runs of it are one. A profile is the list of the mo
 A document goes to the language whose profile has the least out-of-place distance: for each of the document's ranked
 n-grams, how far its rank is from the rank in the profile, or ``top`` if it is not there.
 
-Profiles are learned from text and lang alone, of a bounded sample: about ``per_lang`` documents of each language,
-chosen by a hash of doc_id. Counts are summed on the executors; languages x ``top`` ranks come to the driver.
+Profiles are learned from text and lang alone. ``learn`` takes a bounded sample: about ``per_lang`` documents of each language,
+chosen by a hash of doc_id; ``accepted`` takes every row that is not held out. Counts are summed on the executors;
+languages x ``top`` ranks come to the driver.
 
 ``accepted`` rejects texts that are unlike every learned language: those with a score under ``margin`` times the score that
 all but a thousandth of the learning rows of the same size class reach (the class is the bit length of the number of
-distinct n-grams). Classes of under ``few`` learning rows take half the least of the other classes, or ``floor`` if there is
+distinct n-grams), by an exact count over all of them. Classes of under ``few`` learning rows take half the least of the other classes, or ``floor`` if there is
 none. A short text of a few strange letters can pass.
 
 Defined results: null text and text without a letter give ``und`` with score 0; repeated rows are scored each; an empty
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from setforge.llm.common import crc_bucket, plain_columns
@@ -127,12 +128,18 @@ class Profiles:
         return self.judge(text)[:2]
 
 
+def _counts(rows: DataFrame, p: LangParams) -> list:
+    """lang, count of the languages of labelled rows."""
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.max_langs + 1).collect()
+    if len(counts) > p.max_langs:
+        raise ValueError(f"more than {p.max_langs} languages")
+    return counts
+
+
 def sample(labelled: DataFrame, p: LangParams = LangParams()) -> DataFrame:
     """lang, text of about ``per_lang`` rows of each language."""
     rows = labelled.where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.max_langs + 1).collect()
-    if len(sizes) > p.max_langs:
-        raise ValueError(f"more than {p.max_langs} languages")
+    sizes = _counts(rows, p)
     if not sizes:
         return rows.limit(0).select("lang", "text")
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, p.per_lang / r["count"]))])
@@ -140,13 +147,13 @@ def sample(labelled: DataFrame, p: LangParams = LangParams()) -> DataFrame:
 
 
 def train(rows: DataFrame, p: LangParams = LangParams()) -> dict[str, list[int]]:
-    """Ranked n-gram codes of every language of sampled rows (lang, text)."""
+    """Ranked n-gram codes of every language of rows (lang, text)."""
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = codes(text)
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                c = codes(text.as_py())
                 if len(c):
                     sums = total.setdefault(lang, np.zeros(SPACE, np.int64))
                     found, counts = grams(c)
@@ -175,27 +182,36 @@ def predict(docs: DataFrame, lists: dict[str, list[int]], p: LangParams = LangPa
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def _not_held_out(docs: DataFrame, p: LangParams) -> DataFrame:
+    return plain_columns(docs, "doc_id", "text", "lang").where(crc_bucket("doc_id", p.folds) != p.held_out)
+
+
 def learning_rows(docs: DataFrame, p: LangParams = LangParams()) -> DataFrame:
-    """The sample of the rows of docs that are not held out."""
-    return sample(plain_columns(docs, "doc_id", "text", "lang").where(crc_bucket("doc_id", p.folds) != p.held_out), p)
+    """lang, text of all labelled rows of docs that are not held out."""
+    rows = _not_held_out(docs, p).where("lang is not null and text is not null").select("lang", "text")
+    _counts(rows, p)
+    return rows
 
 
 def learn(docs: DataFrame, p: LangParams = LangParams()) -> dict[str, list[int]]:
-    """Profiles from the rows of docs that are not held out."""
-    return train(learning_rows(docs, p), p)
+    """Profiles from a sample of the rows of docs that are not held out."""
+    return train(sample(_not_held_out(docs, p), p), p)
 
 
 def least_scores(rows: DataFrame, lists: dict[str, list[int]], p: LangParams = LangParams()) -> dict[int, float]:
-    """The least score to accept by size class, from sampled rows (lang, text); a few classes come to the driver."""
+    """The least score to accept by size class, from rows (lang, text); a few classes come to the driver."""
 
     def run(batches):
         model = Profiles.of(lists, p.top)
         for batch in batches:
-            found = [model.judge(t.as_py()) for t in batch.column(1)]
+            found = [model.judge(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([x[2] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.float64())], ["size", "score"])
 
-    scores = rows.mapInArrow(run, "size int, score double").where("size > 0")
-    classes = scores.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("score", 0.001, 10_000).alias("low"))
+    scores = rows.select("text").mapInArrow(run, "size int, score double").where("size > 0")
+    # a score is a whole distance over a length: their number in a class doesn't grow with the rows
+    same = scores.groupBy("size", "score").agg(F.count(F.lit(1)).alias("rows"))
+    upto = same.withColumn("upto", F.sum("rows").over(Window.partitionBy("size").orderBy("score"))).withColumn("n", F.sum("rows").over(Window.partitionBy("size")))
+    classes = upto.where("1000 * upto >= n").groupBy("size").agg(F.first("n").alias("n"), F.min("score").alias("low"))
     known = {r["size"]: max(p.floor, p.margin * r["low"]) for r in classes.where(F.col("n") >= p.few).collect()}
     other = max(p.floor, min(known.values()) / 2) if known else p.floor
     return {size: known.get(size, other) for size in range(SPACE.bit_length() + 1)}

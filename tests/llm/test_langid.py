@@ -1,5 +1,8 @@
 import random
+import zlib
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from setforge.llm import langid as L
@@ -69,3 +72,30 @@ def test_odd_rows(spark, odd, clash):
     empty = odd.limit(0)
     assert L.learn(empty) == {} and L.predict(odd, {}).where("lang_pred = 'und'").count() == 11
     assert L.accepted(empty).count() == 0
+
+
+def test_accepted_learns_from_all_rows(spark):
+    """Profiles and least scores of the pipeline's stage come from every row that is not held out, whatever per_lang is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    p = L.LangParams(per_lang=20)
+    own = [r for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % p.folds != p.held_out and r.lang is not None and r.text is not None]
+    rows = L.learning_rows(docs, p)
+    assert sorted(map(tuple, rows.collect())) == sorted((r.lang, r.text) for r in own)
+    lists, sums = L.train(rows, p), {}
+    for r in own:
+        sums.setdefault(r.lang, Counter()).update(dict(zip(*map(np.ndarray.tolist, L.grams(L.codes(r.text))), strict=True)))
+    assert lists == {lang: sorted(c, key=lambda x: (-c[x], x))[: p.top] for lang, c in sums.items()}
+    model, classes = L.Profiles.of(lists, p.top), {}
+    for _, score, size in (model.judge(r.text) for r in own):
+        classes.setdefault(size, []).append(score)
+    want = {}
+    for size, scores in classes.items():
+        if size > 0 and len(scores) >= p.few:
+            low = min(x for x in scores if 1000 * sum(y <= x for y in scores) >= len(scores))
+            want[size] = max(p.floor, p.margin * low)
+    got = L.least_scores(rows, lists, p)
+    assert want and {size: got[size] for size in want} == want
+    noise = "".join(random.Random(1).choices("bcdfghjklmnpqrstvwxz ", k=600))
+    strange = ["Привет мир, как дела сегодня " * 20, noise, "こんにちは世界" * 60]
+    more = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(strange)], "doc_id long, text string, lang string")
+    assert L.accepted(docs.unionByName(more), p).where("doc_id < 0").count() == 0

@@ -6,12 +6,22 @@ engine; ``xxhash64`` stays in generated code and is the one for large data.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+try:  # CPython's own are started faster than the library's
+    from _md5 import md5
+    from _sha2 import sha256
+except ImportError:
+    from hashlib import md5, sha256
+
 FAMILIES = ("md5", "sha256", "xxhash64")
 TWO52 = float(1 << 52)
 
@@ -77,6 +87,131 @@ def sql_hash32(value: str) -> str:
     return f"('0x' || substr(md5(({value})::VARCHAR), 1, 8))::BIGINT"
 
 
+# The same draws as arrays, for items that are met again and again: items are bytes, for xxhash64 the hashes of the items.
+
+
+def draw_array(items: Sequence, labels: Sequence[tuple], family: str = "md5", drop: int = 12) -> np.ndarray:
+    """``draw`` for each item (rows) and each tuple of labels (columns); ``drop``: bits left out of 64."""
+    if family == "xxhash64":
+        seeds = np.array(items, np.int64).view(np.uint64)
+        return np.stack([(_xxhash64(seeds, x) >> np.uint64(drop)).view(np.int64) for x in labels], axis=1)
+    if family not in FAMILIES:
+        raise ValueError(f"family is one of {FAMILIES}")
+    bare = ["#".join(map(str, x)).encode() for x in labels]  # concat_ws leaves a null item out
+    tails = [b"#" + x if x else b"" for x in bare]
+    longest = 55 - max(map(len, tails))
+    if family == "md5" and len(items) * len(labels) >= 4096:
+        short = np.array([t is not None and len(t) <= longest for t in items])
+        rest = [t for t, fits in zip(items, short, strict=True) if not fits]
+        out = np.empty((len(items), len(labels)), np.uint64)
+        out[short] = _md5_array([t for t, fits in zip(items, short, strict=True) if fits], tuple(tails))
+        out[~short] = _digests(md5, 16, rest, bare, tails)
+    else:
+        out = _digests(*((md5, 16) if family == "md5" else (sha256, 32)), items, bare, tails)
+    return (out >> np.uint64(drop)).view(np.int64)
+
+
+def _digests(make, size: int, items: Sequence, bare: list[bytes], tails: list[bytes]) -> np.ndarray:
+    digests = b"".join([make(head + x).digest() for head, ends in ((b"", bare) if t is None else (t, tails) for t in items) for x in ends])
+    return np.frombuffer(digests, ">u8")[:: size // 8].astype(np.uint64).reshape(len(items), len(tails))
+
+
+# md5 of many texts of one block, step by step over arrays (RFC 1321).
+_MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+_MD5_TURNS = [x for row in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for x in row * 4]
+_MD5_SINES = [np.uint32(int(abs(math.sin(k + 1)) * 2**32)) for k in range(64)]
+
+
+@lru_cache(maxsize=4096)
+def _md5_ends(length: int, tails: tuple[bytes, ...]) -> np.ndarray:
+    """What follows a text of a length in its block, with zeros in the text's place: (tails, 16) words."""
+    blocks = [(bytes(length) + x + b"\x80").ljust(56, b"\0") + (8 * (length + len(x))).to_bytes(8, "little") for x in tails]
+    return np.frombuffer(b"".join(blocks), "<u4").reshape(len(tails), 16)
+
+
+def _md5_array(items: list[bytes], tails: tuple[bytes, ...]) -> np.ndarray:
+    """The first 64 bits of md5(item + tail), where item and tail have 55 bytes at most."""
+    heads = np.frombuffer(b"".join([t.ljust(64, b"\0") for t in items]), "<u4").reshape(len(items), 16)
+    sizes, kind = np.unique(np.fromiter(map(len, items), np.int64, len(items)), return_inverse=True)
+    ends = np.array([_md5_ends(int(n), tails) for n in sizes], np.uint32).reshape(len(sizes), len(tails), 16)
+    out, step = np.empty((len(items), len(tails)), np.uint64), max(1, (1 << 14) // len(tails))
+    for at in range(0, len(items), step):
+        words = heads[at : at + step, None, :] | ends[kind[at : at + step]]
+        a, b = _md5_block(np.ascontiguousarray(words.reshape(-1, 16).T))
+        out[at : at + step] = (a.byteswap().astype(np.uint64) << np.uint64(32) | b.byteswap()).reshape(-1, len(tails))
+    return out
+
+
+def _md5_block(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b, c, d = (np.full(words.shape[1], x, np.uint32) for x in _MD5_START)
+    f, g = np.empty_like(a), np.empty_like(a)
+    for k in range(64):
+        if k < 16:
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+            at = k
+        elif k < 32:
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+            at = (5 * k + 1) % 16
+        elif k < 48:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+            at = (3 * k + 5) % 16
+        else:
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+            at = 7 * k % 16
+        f += a
+        f += _MD5_SINES[k]
+        f += words[at]
+        np.right_shift(f, np.uint32(32 - _MD5_TURNS[k]), out=g)
+        f <<= np.uint32(_MD5_TURNS[k])
+        f |= g
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    return a + np.uint32(_MD5_START[0]), b + np.uint32(_MD5_START[1])
+
+
+FULL = (1 << 64) - 1
+_XX = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def _xxhash64(seeds: np.ndarray, labels: tuple) -> np.ndarray:
+    """Spark's xxhash64 of further labels, ints and texts of under 4 bytes, after values whose hashes are the seeds."""
+    p1, p2, p3, _, p5 = _XX
+    h = seeds
+    for x in labels:
+        if isinstance(x, str):
+            text = x.encode()
+            if len(text) > 3:
+                raise ValueError("labels of under 4 bytes")
+            h = h + p5 + np.uint64(len(text))
+            for byte in text:
+                h = _rotated(h ^ np.uint64(byte * int(p5) & FULL), 11) * p1
+        else:
+            h = _rotated((h + p5 + np.uint64(4)) ^ np.uint64((x & 0xFFFFFFFF) * int(p1) & FULL), 23) * p2 + p3
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h = h ^ (h >> np.uint64(32))
+    return h
+
+
+def uniform_array(bits: np.ndarray) -> np.ndarray:
+    return (bits.astype(float) + 1.0) / TWO52
+
+
+def item_hash_array(items: Sequence, family: str = "md5") -> np.ndarray:
+    return draw_array(items, [()], family, drop=4)[:, 0]
+
+
 def exponential(u: Column) -> Column:
     """Standard exponential of a uniform."""
     return -F.ln(u)

@@ -1,18 +1,21 @@
 """Consistent weighted sampling: signatures whose slots agree with the probability Jaccard similarity.
 
-Long form: (set_id, slot, h, item), the item of least h = E(item, slot) / weight. Min and argmin are associative, so
-Spark aggregates on the map side, a hot set is one row a slot and task, and sketches merge by the least h of each slot:
-the sketch of the pointwise largest weights.
+Long form: (set_id, slot, h, item), the item of least h = E(item, slot) / weight. Min and argmin are associative, so sets
+are reduced to their slots on the map side (``fold``), a hot set too, and sketches merge by the least h of each slot: the
+sketch of the pointwise largest weights.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setforge.functions.hashing import draw, exponential, truncated_exponential, uniform_draw
+from setforge.functions.hashing import draw, draw_array, truncated_exponential, uniform_array, uniform_draw
+from setforge.operators.fold import folded, owners, together
 
 
 def _least(rows: DataFrame, *keys: str) -> DataFrame:
@@ -20,14 +23,27 @@ def _least(rows: DataFrame, *keys: str) -> DataFrame:
     return best.select(*keys, "m.h", "m.item")
 
 
-def sample(sets: DataFrame, m: int, family: str = "md5") -> DataFrame:
-    """Independent slots (P-MinHash): for each slot an exponential clock of rate weight for every item."""
+def sample(sets: DataFrame, m: int, family: str = "md5", scattered: bool = True) -> DataFrame:
+    """Independent slots (P-MinHash): for each slot an exponential clock of rate weight for every item.
+
+    scattered: the rows of a set don't follow each other (as those of ``token_weights`` do) and are brought together first.
+    """
     if m < 1:
         raise ValueError("m >= 1")
-    slots = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("slot")
-    rows = sets.select("set_id", "item", "weight", slots)
-    h = exponential(uniform_draw(F.col("item"), F.col("slot"), family=family)) / F.col("weight")
-    return _least(rows.select("set_id", "slot", h.alias("h"), "item"), "set_id", "slot")
+    labels = [(k,) for k in range(m)]
+
+    def clocks(items):
+        return -np.log(uniform_array(draw_array(items, labels, family)))
+
+    def first(starts, clock, more):
+        h = np.ascontiguousarray(clock.T) / more[0].to_numpy(zero_copy_only=False)
+        row, slot = owners(starts, h)
+        return row, [pa.array(slot, pa.int32()), pa.array(h[slot, row]), more[1].take(pa.array(row))]
+
+    rows = together(sets, "set_id") if scattered else sets
+    kind = sets.select("item").schema[0].dataType.simpleString()
+    parts = folded(rows, ["set_id"], F.col("item"), clocks, m, first, f"slot int, h double, item {kind}", family, [F.col("weight"), F.col("item")])
+    return _least(parts, "set_id", "slot")
 
 
 def item_points(items: DataFrame, m: int, points: int, family: str = "md5") -> DataFrame:

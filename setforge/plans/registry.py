@@ -56,8 +56,12 @@ def _flat(sig: DataFrame, name: str = "item") -> DataFrame:
     return sig.select("set_id", F.posexplode("sig").alias("slot", name))
 
 
+def _term_sample(s, d):
+    return weighted.sample(sets.token_weights(table(s, d, "documents")), M, scattered=False)
+
+
 def pminhash_sig(s, d):
-    return weighted.sample(sets.token_weights(table(s, d, "documents")), M).select("set_id", "slot", "item")
+    return _term_sample(s, d).select("set_id", "slot", "item")
 
 
 def pminhash_wide(s, d):

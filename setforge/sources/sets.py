@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from setforge.operators.fold import together
+
 SPACE = r"\s+"
+#: Ids on several rows that are broadcast at most.
+REPEATED = 100_000
 
 
 def tokens(text: Column) -> Column:
@@ -24,9 +28,33 @@ def token_sets(docs: DataFrame) -> DataFrame:
 
 
 def token_weights(docs: DataFrame) -> DataFrame:
-    """Weighted sets of term frequencies."""
+    """Weighted sets of term frequencies, the rows of a set side by side.
+
+    A document is counted inside its row: sorted tokens change where a new one begins. Only documents whose id is on
+    several rows are counted together, by shuffle; a bounded list of these ids is broadcast, beyond it all are shuffled.
+    """
+    ids = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    n = ids.limit(REPEATED + 1).count()
+    alike = F.col("doc_id").eqNullSafe(F.col("again"))
+    if n == 0:
+        return _row_weights(docs)
+    if n > REPEATED:
+        return _shuffled_weights(docs)
+    once, more = (docs.join(F.broadcast(ids), alike, how) for how in ("left_anti", "left_semi"))
+    return _row_weights(once).unionByName(_shuffled_weights(more))
+
+
+def _row_weights(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").alias("set_id"), F.sort_array(tokens(F.col("text"))).alias("t"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda k: (k == 0) | (F.get("t", k) != F.get("t", k - 1)))
+    rows = rows.where(F.size("t") > 0).select("set_id", "t", begins.alias("k"))
+    terms = F.transform("k", lambda k, n: F.struct(F.get("t", k).alias("item"), (F.coalesce(F.get("k", n + 1), F.size("t")) - k).cast("double").alias("weight")))
+    return rows.select("set_id", F.inline(terms))
+
+
+def _shuffled_weights(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").alias("set_id"), F.explode(tokens(F.col("text"))).alias("item"))
-    return rows.groupBy("set_id", "item").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return together(rows.groupBy("set_id", "item").agg(F.count(F.lit(1)).cast("double").alias("weight")), "set_id")
 
 
 def token_sequences(docs: DataFrame) -> DataFrame:

@@ -93,14 +93,18 @@ def jaccard_bounds(jac: Column, p: SketchParams) -> tuple[Column, Column]:
 
 def compare(sketches: DataFrame, pairs: DataFrame, p: SketchParams) -> DataFrame:
     """(a, b, d_plus, d_minus, d_zero, n_a, n_b) of pairs (a, b) of set ids: registers larger, smaller, equal."""
-    left = sketches.select(F.col("set_id").alias("a"), "slot", F.col("reg").alias("ra"))
-    right = sketches.select(F.col("set_id").alias("b"), "slot", F.col("reg").alias("rb"))
-    rows = pairs.join(left, "a").join(right, ["b", "slot"])
+    left = sketches.select(F.col("set_id").alias("a"), "slot", F.col("reg").alias("va"))
+    right = sketches.select(F.col("set_id").alias("b"), "slot", F.col("reg").alias("vb"))
+    return compared(pairs.join(left, "a").join(right, ["b", "slot"]), p)
+
+
+def compared(rows: DataFrame, p: SketchParams) -> DataFrame:
+    """The same from the registers of the pairs side by side, (a, b, slot, va, vb)."""
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     scale = p.m * (1 - 1 / p.b) / (p.a * p.ln_b)
     out = rows.groupBy("a", "b").agg(
-        count(F.col("ra") > F.col("rb")).alias("d_plus"), count(F.col("ra") < F.col("rb")).alias("d_minus"), count(F.col("ra") == F.col("rb")).alias("d_zero"),
-        F.round(scale / F.sum(F.exp(-F.col("ra") * p.ln_b)), 3).alias("n_a"), F.round(scale / F.sum(F.exp(-F.col("rb") * p.ln_b)), 3).alias("n_b"),
+        count(F.col("va") > F.col("vb")).alias("d_plus"), count(F.col("va") < F.col("vb")).alias("d_minus"), count(F.col("va") == F.col("vb")).alias("d_zero"),
+        F.round(scale / F.sum(F.exp(-F.col("va") * p.ln_b)), 3).alias("n_a"), F.round(scale / F.sum(F.exp(-F.col("vb") * p.ln_b)), 3).alias("n_b"),
     )
     return out
 

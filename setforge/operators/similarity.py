@@ -18,11 +18,33 @@ def equal_share(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("signatures of different length"))).when(F.size(a) > 0, same / F.size(a))
 
 
+def neighbour_slots(long: DataFrame, value: str = "value") -> DataFrame:
+    """(a, b, slot, va, vb): long signatures of sets that follow each other, a + 1 = b, slot by slot.
+
+    The signatures are made once: each row goes out under its own id and under the next one, and both meet in an
+    aggregation. A join of the table with itself and with its ids makes them three times.
+    """
+    id_, no = F.col("set_id"), F.lit(False)
+    ends = F.array(F.struct(id_.alias("b"), (~no).alias("right")), F.struct((id_ + 1).alias("b"), no.alias("right")))
+    rows = long.where("set_id is not null").select("slot", F.col(value).alias("v"), F.explode(ends).alias("e")).select("e.b", "slot", "e.right", "v")
+    right = F.col("right")
+    both = rows.groupBy("b", "slot").agg(F.max(F.when(~right, F.col("v"))).alias("va"), F.max(F.when(right, F.col("v"))).alias("vb"), F.max(~right).alias("l"), F.max(right).alias("r"))
+    return both.where("l and r").select((F.col("b") - 1).alias("a"), "b", "slot", "va", "vb")
+
+
+def neighbour_jaccard(long: DataFrame, m: int, value: str = "value") -> DataFrame:
+    """``signature_jaccard`` of the sets that follow each other."""
+    return _share(neighbour_slots(long, value), m)
+
+
 def signature_jaccard(long: DataFrame, pairs: DataFrame, m: int, value: str = "value") -> DataFrame:
     """(a, b, n_equal, jaccard, distance) of pairs (a, b) over long signatures; slots that a set lacks are unequal."""
     left = long.select(F.col("set_id").alias("a"), "slot", F.col(value).alias("va"))
     right = long.select(F.col("set_id").alias("b"), "slot", F.col(value).alias("vb"))
-    rows = pairs.join(left, "a").join(right, ["b", "slot"])
+    return _share(pairs.join(left, "a").join(right, ["b", "slot"]), m)
+
+
+def _share(rows: DataFrame, m: int) -> DataFrame:
     same = F.sum(F.when(F.col("va") == F.col("vb"), 1).otherwise(0))
     out = rows.groupBy("a", "b").agg(same.alias("n_equal"))
     return out.select("a", "b", "n_equal", (F.col("n_equal") / m).alias("jaccard"), (1 - F.col("n_equal") / m).alias("distance"))

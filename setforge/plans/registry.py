@@ -70,8 +70,7 @@ def pminhash_wide(s, d):
 
 
 def pminhash_neighbours(s, d):
-    rows = sets.token_weights(table(s, d, "documents"))
-    return similarity.signature_jaccard(weighted.sample(rows, M), _pairs(rows), M, "item")
+    return similarity.neighbour_jaccard(_term_sample(s, d), M, "item")
 
 
 def _sql_jaccard(long: str, pairs: str, m: int, value: str) -> str:
@@ -121,8 +120,7 @@ def _sql_points(rows: str) -> str:
 
 
 def pmh3_neighbours(s, d):
-    rows = _parts(s, d)
-    return similarity.signature_jaccard(weighted.sample_points(rows, M, POINTS), _pairs(rows), M, "item")
+    return similarity.neighbour_jaccard(weighted.sample_points(_parts(s, d), M, POINTS), M, "item")
 
 
 def jp_exact(s, d):
@@ -167,8 +165,7 @@ def superminhash_f32(s, d):
 
 
 def superminhash_jaccard(s, d):
-    rows = _tokens(s, d)
-    return similarity.signature_jaccard(minwise.superminhash(rows, M), _pairs(rows), M)
+    return similarity.neighbour_jaccard(superminhash_sig(s, d), M)
 
 
 def superminhash2_sig(s, d):
@@ -176,8 +173,7 @@ def superminhash2_sig(s, d):
 
 
 def superminhash2_jaccard(s, d):
-    rows = _tokens(s, d)
-    return similarity.signature_jaccard(minwise.superminhash2(rows, M), _pairs(rows), M)
+    return similarity.neighbour_jaccard(superminhash2_sig(s, d), M)
 
 
 def slot_permutation(s, d):
@@ -233,13 +229,11 @@ def _sql_compacted(scheme: str, bits: int) -> str:
 
 
 def oph_jaccard(s, d):
-    long = oph_optdens(s, d)
-    return similarity.signature_jaccard(long, _pairs(long), BINS)
+    return similarity.neighbour_jaccard(oph_optdens(s, d), BINS)
 
 
 def oph_revjaccard(s, d):
-    long = oph_revoptdens(s, d)
-    return similarity.signature_jaccard(long, _pairs(long), BINS)
+    return similarity.neighbour_jaccard(oph_revoptdens(s, d), BINS)
 
 
 # --- SetSketch ---------------------------------------------------------------------------------------------------------
@@ -290,15 +284,13 @@ def setsketch_diag(s, d):
 
 def setsketch_bounds(s, d):
     """Bounds of the similarity for the share of equal registers of each pair."""
-    regs = setsketch_regs(s, d)
-    share = similarity.signature_jaccard(regs, _pairs(regs), P.m, "reg").select("a", "b", F.col("jaccard").alias("share"))
+    share = similarity.neighbour_jaccard(setsketch_regs(s, d), P.m, "reg").select("a", "b", F.col("jaccard").alias("share"))
     low, high = setsketch.jaccard_bounds(F.col("share"), P)
     return share.select("a", "b", "share", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
 def _counts(s, d):
-    regs = setsketch_regs(s, d)
-    return setsketch.compare(regs, _pairs(regs), P)
+    return setsketch.compared(similarity.neighbour_slots(setsketch_regs(s, d), "reg"), P)
 
 
 def setsketch_mle_b1(s, d):
@@ -352,8 +344,7 @@ def ordminhash_sig(s, d):
 
 
 def ordminhash_sim(s, d):
-    long = ordminhash_sig(s, d)
-    return similarity.signature_jaccard(long, _pairs(long), ORD_M)
+    return similarity.neighbour_jaccard(ordminhash_sig(s, d), ORD_M)
 
 
 SQL_ORD = rf"""(WITH w AS (SELECT conv_id AS set_id, turn, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '') AS ws FROM conversations),

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from setforge.functions import hashing as H
-from setforge.operators import fold, weighted
+from setforge.operators import fold, similarity, weighted
+from setforge.plans import registry
 from setforge.sources import sets
 
 FAMILIES = ("md5", "sha256", "xxhash64")
@@ -93,3 +94,19 @@ def test_terms_of_repeated_ids(spark, monkeypatch):
     for most in (sets.REPEATED, 1, 0):
         monkeypatch.setattr(sets, "REPEATED", most)
         assert sorted(map(tuple, sets.token_weights(docs).collect()), key=key) == sorted(want, key=key)
+
+
+def slots_of(df):
+    return df.select("set_id", "slot", F.col("item").alias("value"))
+
+
+def test_neighbours_in_one_pass(spark, words):
+    """Signatures of sets that follow each other meet without a second making; null ids and missing slots have no pair."""
+    long = slots_of(weighted.sample(words.where("set_id is null or set_id not in (3, 6)"), M)).where("set_id is null or slot != set_id").cache()
+    want = rows_of(similarity.signature_jaccard(long, similarity.neighbours(long), M))
+    assert rows_of(similarity.neighbour_jaccard(long, M)) == want and [r[:2] for r in want] == [(1, 2), (4, 5), (7, 8)]
+
+
+@pytest.mark.parametrize("name", ["pminhash_neighbours"])
+def test_neighbour_queries_read_once(spark, name):
+    assert plan(registry.queries()[name](spark, "/root/testdata/sf0.001")).count("FileScan parquet") == 1

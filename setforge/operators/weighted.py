@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from setforge.functions.hashing import draw, draw_array, truncated_exponential, uniform_array, uniform_draw
-from setforge.operators.fold import folded, owners, together
+from setforge.operators.fold import ROWS, STEP, folded, hashed, lengths, owners, run_starts, steps, together
 
 
 def _least(rows: DataFrame, *keys: str) -> DataFrame:
@@ -67,11 +68,58 @@ def item_points(items: DataFrame, m: int, points: int, family: str = "md5") -> D
     return every.groupBy("item", "slot").agg(F.min("c").alias("c"))  # already together by item
 
 
-def sample_points(sets: DataFrame, m: int, points: int | None = None, family: str = "md5") -> DataFrame:
-    """Correlated slots (one point process for each item), from one table of points of the distinct items."""
-    arrivals = item_points(sets, m, points or 12 * m, family)
-    rows = sets.join(arrivals, "item").select("set_id", "slot", (F.col("c") / F.col("weight")).alias("h"), "item")
-    return _least(rows, "set_id", "slot")
+def sample_points(sets: DataFrame, m: int, points: int | None = None, family: str = "md5", scattered: bool = True) -> DataFrame:
+    """Correlated slots (one point process for each item): the items' points are those of ``item_points``.
+
+    A set draws the next point of an item only while it can still take a slot: an item of weight w, whose i-th point isn't
+    below i / w, is done once every slot of the set has less. That leaves no slot otherwise than all points would.
+    """
+    if m < 2:
+        raise ValueError("m >= 2")
+    points = points or 12 * m
+    last = max(64 * m, 2 * points)
+    kind = sets.select("item").schema[0].dataType.simpleString()
+    schema = StructType([*sets.select("set_id").schema.fields, *StructType.fromDDL(f"slot int, h double, item {kind}").fields])
+
+    def run(batches):
+        for batch in steps(batches, max(1, min(ROWS, STEP // m))):
+            starts = run_starts([batch.column(0)])
+            row, slot, h = _arrivals(starts, batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False), m, last, family)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(slot, pa.int32()), pa.array(h), batch.column(3).take(at)], schema.names)
+
+    rows = together(sets, "set_id") if scattered else sets
+    parts = rows.select("set_id", hashed(F.col("item"), family).alias("hashed"), "weight", "item").mapInArrow(run, schema)
+    return _least(parts, "set_id", "slot")
+
+
+def _arrivals(starts: np.ndarray, items: list, weight: np.ndarray, m: int, last: int, family: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, h) of the points that can own a slot of their run, all that own one among them."""
+    n, rate = len(items), math.log(m / (m - 1))
+    owner = np.repeat(np.arange(len(starts)), lengths(starts, n))
+    best, hit, n_hit = np.full((len(starts), m), np.inf), np.zeros((n, m), bool), np.zeros(n, np.int64)
+    active, found = np.arange(n), []
+    for i in range(last):
+        names = [items[k] for k in active]
+        slot = draw_array(names, [(i, "s")], family)[:, 0] % m
+        new = np.flatnonzero(~hit[active, slot])
+        row, slot = active[new], slot[new]
+        hit[row, slot] = True
+        n_hit[row] += 1
+        can = i / weight[row] <= best[owner[row], slot]
+        row, slot = row[can], slot[can]
+        if len(row):
+            u = uniform_array(draw_array([names[k] for k in new[can]], [(i, "e")], family)[:, 0])
+            h = (i - np.log(1.0 - (1.0 - u) * (1.0 - float(np.exp(-rate)))) / rate) / weight[row]
+            np.minimum.at(best, (owner[row], slot), h)
+            found.append((row, slot, h))
+        worst = best.max(axis=1)
+        active = active[((i + 1) / weight[active] <= worst[owner[active]]) & (n_hit[active] < m)]
+        if not len(active):
+            break
+    row, slot, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    own = h == best[owner[row], slot]
+    return row[own], slot[own], h[own]
 
 
 def merge(*sketches: DataFrame) -> DataFrame:

@@ -209,7 +209,7 @@ def uniform_array(bits: np.ndarray) -> np.ndarray:
 
 
 def item_hash_array(items: Sequence, family: str = "md5") -> np.ndarray:
-    return draw_array(items, [()], family, drop=4)[:, 0]
+    return draw_array(items, [()], "xxhash64" if family == "xxhash64" else "md5", drop=4)[:, 0]
 
 
 def exponential(u: Column) -> Column:

@@ -11,19 +11,35 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setforge.functions.hashing import draw, hash32, item_hash, uniform_draw
+from setforge.functions.hashing import TWO52, draw_array, hash32, item_hash_array
+from setforge.operators.fold import folded, lengths
 
 
 def bins(sets: DataFrame, m: int, family: str = "md5") -> DataFrame:
     """(set_id, slot, r, value): least uniform of each filled bin and the hash of its item."""
     if m < 1:
         raise ValueError("m >= 1")
-    item = F.col("item")
-    rows = sets.select("set_id", (draw(item, "b", family=family) % m).cast("int").alias("slot"), uniform_draw(item, "u", family=family).alias("r"), item_hash(item, family).alias("hash"))
-    return rows.groupBy("set_id", "slot").agg(F.min("r").alias("r"), F.min_by("hash", "r").alias("value"))
+
+    def draws(items):
+        both = draw_array(items, [("b",), ("u",)], family)
+        return np.column_stack([both[:, 0] % m, both[:, 1], item_hash_array(items, family)])
+
+    def first(starts, scores, more):
+        bin_, u, hash_ = scores.T
+        run = np.repeat(np.arange(len(starts)), lengths(starts, len(scores)))
+        order = np.lexsort((hash_, u, run * m + bin_))
+        at = (run * m + bin_)[order]
+        row = order[np.append(True, at[1:] != at[:-1])]
+        return row, [pa.array(bin_[row], pa.int32()), pa.array(u[row]), pa.array(hash_[row])]
+
+    parts = folded(sets, ["set_id"], F.col("item"), draws, 3, first, "slot int, u long, hash long", family)
+    best = parts.groupBy("set_id", "slot").agg(F.min(F.struct("u", "hash")).alias("x"))
+    return best.select("set_id", "slot", ((F.col("x.u").cast("double") + 1.0) / TWO52).alias("r"), F.col("x.hash").alias("value"))
 
 
 def merge_bins(*sketches: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setforge.functions.hashing import exponential, uniform_draw
+from setforge.functions.hashing import TWO52, draw_array, exponential
+from setforge.operators.fold import folded, least
 
 
 @dataclass(frozen=True)
@@ -51,9 +52,10 @@ def read_params(spark, path: str) -> SketchParams:
 def registers(sets: DataFrame, p: SketchParams, *keys: str, family: str = "md5") -> DataFrame:
     """(keys, slot, reg) for sets given as rows with the keys (set_id if none) and item."""
     keys = keys or ("set_id",)
-    rows = sets.select(*keys, "item", F.explode(F.sequence(F.lit(0), F.lit(p.m - 1))).alias("slot"))
-    x = exponential(uniform_draw(F.col("item"), F.col("slot"), "k", family=family)) / p.a
-    return rows.select(*keys, "slot", x.alias("x")).groupBy(*keys, "slot").agg(F.min("x").alias("x")).select(*keys, "slot", register(F.col("x"), p).alias("reg"))
+    labels = [(k, "k") for k in range(p.m)]
+    parts = folded(sets, keys, F.col("item"), lambda items: -draw_array(items, labels, family), p.m, least, "slot int, x long", family)
+    u = ((-F.min("x")).cast("double") + 1.0) / TWO52  # the largest uniform gives the least x
+    return parts.groupBy(*keys, "slot").agg((exponential(u) / p.a).alias("x")).select(*keys, "slot", register(F.col("x"), p).alias("reg"))
 
 
 def register(x: Column, p: SketchParams) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setforge.functions.hashing import TWO52, draw_array, hash32, item_hash_array
-from setforge.operators.fold import folded, lengths
+from setforge.operators.fold import MEMO, folded, lengths
 
 
 def bins(sets: DataFrame, m: int, family: str = "md5") -> DataFrame:
@@ -30,11 +30,15 @@ def bins(sets: DataFrame, m: int, family: str = "md5") -> DataFrame:
         return np.column_stack([both[:, 0] % m, both[:, 1], item_hash_array(items, family)])
 
     def first(starts, scores, more):
-        bin_, u, hash_ = scores.T
+        bin_, u, hash_ = np.ascontiguousarray(scores.T)
         run = np.repeat(np.arange(len(starts)), lengths(starts, len(scores)))
-        order = np.lexsort((hash_, u, run * m + bin_))
-        at = (run * m + bin_)[order]
-        row = order[np.append(True, at[1:] != at[:-1])]
+        at, n = run * m + bin_, len(starts) * m
+        if n > MEMO:
+            seen, at = np.unique(at, return_inverse=True)
+            n = len(seen)
+        best = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(best, at, u)
+        row = np.flatnonzero(u == best[at])
         return row, [pa.array(bin_[row], pa.int32()), pa.array(u[row]), pa.array(hash_[row])]
 
     parts = folded(sets, ["set_id"], F.col("item"), draws, 3, first, "slot int, u long, hash long", family)

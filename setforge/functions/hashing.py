@@ -1,7 +1,7 @@
 """Item hashes and uniforms as Column expressions, invertible integer hashes, and the SQL of the portable family.
 
 A family turns an item (as text) and a label into 52 uniform bits. ``md5`` and ``sha256`` give the same bits in any SQL
-engine; ``xxhash64`` stays in generated code and is the one for large data.
+engine; ``xxhash64`` takes values as they are. Arrays of draws give the bits of the Column expressions.
 """
 
 from __future__ import annotations
